@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.packing import op6_best_fit_packing
+from kinlink.llm.quality import op7_quality_classifier
 from kinlink.llm.token_counts import op10_token_counts
+from kinlink.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_toxicity": op8_toxicity,
         "op10_token_counts": op10_token_counts,
     }
 
