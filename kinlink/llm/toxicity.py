@@ -15,7 +15,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
+from itertools import chain, compress, filterfalse, islice
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,15 @@ EDGES = "\"'`.,;:!?()[]{}<>|/\\+=~^-_*#$%&@«»“”„…"
 class Settings:
     """``sample`` labelled rows of each label are learned from at most, and ``windows`` windows of each."""
 
-    sample: int = 3000
-    windows: int = 48
+    sample: int = 1500
+    windows: int = 32
     width: int = 32
     buckets: int = 1 << 17
     dim: int = 8
     shortest: int = 3
     longest: int = 5
     noisy_epochs: int = 2
-    picked_epochs: int = 4
+    picked_epochs: int = 3
     rate: float = 0.5
     threshold: float = 0.3
     seed: int = 7
@@ -62,7 +63,10 @@ def n_grams(word: str, s: Settings) -> list[int]:
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Lower-case words of a text; a run of one word counts once, else a word repeated for pages would be a window of its own."""
+    words = text.lower().split()
+    new = [True, *map(ne, words, islice(words, 1, None))]
+    return words if all(new) else list(compress(words, new))
 
 
 def core(token: str) -> str:
@@ -200,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         for part in parts(batches, "text"):
             rows = []
             for doc_id, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_column(part, "text"), strict=True):
-                words = text.split()
+                words = words_of(text)
                 starts = list(range(0, len(words), s.width))
                 step = max(1, -(-len(starts) // s.windows))
                 rows += [(doc_id, toxic, k, " ".join(words[k : k + s.width])) for k in starts[::step]]
