@@ -10,16 +10,20 @@ from kinlink.llm.packing import op6_best_fit_packing
 from kinlink.llm.quality import op7_quality_classifier
 from kinlink.llm.token_counts import op10_token_counts
 from kinlink.llm.toxicity import op8_toxicity
+from kinlink.llm.vafile import OP9_SQL, op9_exact_top_k
+from kinlink.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_toxicity": op8_toxicity,
+        "op9_exact_top_k": op9_exact_top_k,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op9_exact_top_k": OP9_SQL}
