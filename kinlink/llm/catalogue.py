@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.packing import op6_best_fit_packing
+from kinlink.llm.pages import op3_html_extraction
 from kinlink.llm.quality import op7_quality_classifier
 from kinlink.llm.token_counts import op10_token_counts
 from kinlink.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ from kinlink.llm.warc import OP1_SQL, op1_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op3_html_extraction": op3_html_extraction,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_toxicity": op8_toxicity,
