@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinlink.llm.decontaminate import op4_decontamination
 from kinlink.llm.packing import op6_best_fit_packing
 from kinlink.llm.pages import op3_html_extraction
 from kinlink.llm.quality import op7_quality_classifier
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op3_html_extraction": op3_html_extraction,
+        "op4_decontamination": op4_decontamination,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_toxicity": op8_toxicity,
