@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents become sequences of benchmark-vocabulary ids. Windows whose idf mass
-could hold enough of an item (a screen that loses nothing the final check would
-accept) are the passages. A distributed randomised SVD of their TF-IDF rows
+Documents become sequences of benchmark-vocabulary ids. Windows that hold
+enough of an item's heaviest terms (a prefix filter that loses nothing the final
+check would accept) are the passages. A distributed randomised SVD of their TF-IDF rows
 gives a latent space; passages near an item by cosine there are checked by
 longest common subsequence with the item and by its answer, so paraphrases with
 replaced or inserted words are found too.
@@ -35,6 +35,7 @@ class Settings:
     likely: float = 0.55
     sure: float = 0.75
     answer: float = 0.6
+    share: float = 0.7
     cosine: float = 0.3
     rank: int = 64
     oversample: int = 8
@@ -51,13 +52,6 @@ class Items:
     answers: list[int]  #: place where the last sentence starts
     vocabulary: dict[str, int]
 
-    def classes(self) -> dict[int, list[int]]:
-        """Items by the smallest power of two, 16 at least, that holds their length."""
-        found: dict[int, list[int]] = {}
-        for k, ids in enumerate(self.ids):
-            found.setdefault(max(16, 1 << (len(ids) - 1).bit_length()), []).append(k)
-        return found
-
 
 def read_items(rows: list[tuple[int, str | None]]) -> Items:
     """Items with at least one word; the last sentence follows the last full stop, line or mark but the final one."""
@@ -139,41 +133,79 @@ def idf_of(encoded: DataFrame, terms: int) -> np.ndarray:
     return idf
 
 
+@dataclass(frozen=True)
+class Prefixes:
+    """For each term the items whose prefix holds it: the heaviest terms with
+    ``share`` of an item's idf mass. A passage that aligns with ``likely`` of the
+    mass holds ``share + likely - 1`` of it in prefix terms."""
+
+    first: np.ndarray
+    count: np.ndarray
+    item: np.ndarray
+    block: np.ndarray  #: a quarter of each item's length
+    length: np.ndarray
+    bound: np.ndarray
+
+
+def prefixes(items: Items, idf: np.ndarray, s: Settings) -> Prefixes:
+    terms, owners, bound = [], [], []
+    for k, ids in enumerate(items.ids):
+        own, n = np.unique(ids, return_counts=True)
+        order = np.argsort(-idf[own], kind="stable")
+        mass = np.cumsum((idf[own] * n)[order])
+        some = own[order[: int(np.searchsorted(mass, s.share * mass[-1] - 1e-9)) + 1]]
+        terms.append(some)
+        owners.append(np.full(len(some), k))
+        bound.append(mass[len(some) - 1] - (1 - s.likely) * mass[-1])
+    term, owner = np.concatenate(terms), np.concatenate(owners)
+    order = np.argsort(term, kind="stable")
+    count = np.bincount(term, minlength=len(idf))
+    length = np.array([len(x) for x in items.ids])
+    return Prefixes(np.cumsum(count) - count, count, owner[order], np.maximum(1, -(-length // 4)), length, np.array(bound))
+
+
 def screen(encoded: DataFrame, items: Items, idf: np.ndarray, s: Settings) -> DataFrame:
-    """Windows of one and a half class lengths, a quarter apart, that could hold an item of the class.
+    """Passages that could leak an item: doc_id, item (its place), ids.
 
-    Any span of up to 1.25 class lengths lies whole in a window. A window
-    whose idf mass is under ``likely`` of its class's lightest item can't pass
-    the final check.
+    Occurrences of prefix terms are summed per document, item and block of a
+    quarter of the item; a window of six blocks from a block that holds one
+    covers every prefix term of a span of up to 1.25 item lengths. Windows
+    under the item's bound can't pass the final check; the others become
+    passages, with the item's length of words before them.
     """
-    least = {size: s.likely * min(float(idf[items.ids[k]].sum()) for k in members) for size, members in items.classes().items()}
-    shared = encoded.sparkSession.sparkContext.broadcast((idf, least))
+    shared = encoded.sparkSession.sparkContext.broadcast((idf, prefixes(items, idf, s)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bounds = shared.value
-        for b in batches:
-            rows: list[tuple] = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4")
-                if not len(ids):
-                    continue
-                mass = np.concatenate(([0.0], np.cumsum(weights[ids])))
-                for size, bound in bounds.items():
-                    starts = np.arange(0, max(1, len(ids) - size - size // 4), size // 4)
-                    stops = np.minimum(starts + size + size // 2, len(ids))
-                    for k in np.flatnonzero(mass[stops] - mass[starts] >= bound - 1e-6).tolist():
-                        rows.append((doc_id, size, int(starts[k]), ids[starts[k] : stops[k]].tobytes()))
-                if len(rows) > 20_000:
-                    yield _passages(rows)
-                    rows = []
+        weights, pre = shared.value
+        for part in parts(batches, "ids", 8 << 20):
+            raw = part.column(1).to_pylist()
+            length = np.array([len(r) // 4 for r in raw], np.int64)
+            ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+            base = np.cumsum(length) - length
+            at = np.flatnonzero(pre.count[ids])
+            if not len(at):
+                continue
+            n = pre.count[ids[at]]
+            ends = np.cumsum(n)
+            item = pre.item[np.arange(ends[-1]) + np.repeat(pre.first[ids[at]] - (ends - n), n)]
+            doc = np.searchsorted(base, at, side="right") - 1
+            doc, place, weight = np.repeat(doc, n), np.repeat(at - base[doc], n), np.repeat(weights[ids[at]], n)
+            blocks = int(length.max()) + 8
+            key, where = np.unique((doc * len(pre.bound) + item) * blocks + place // pre.block[item], return_inverse=True)
+            mass = np.concatenate(([0.0], np.cumsum(np.bincount(where, weight))))
+            inside = mass[np.searchsorted(key, key + 6)] - mass[:-1]
+            owner = key // blocks % len(pre.bound)
+            rows = []
+            for h in np.flatnonzero(inside >= pre.bound[owner] - 1e-6).tolist():
+                k, d = int(owner[h]), int(key[h]) // blocks // len(pre.bound)
+                start = (int(key[h]) % blocks) * int(pre.block[k])
+                stop = min(start + 6 * int(pre.block[k]), int(length[d]))
+                start = max(0, start - int(pre.length[k]))
+                rows.append((part.column(0)[d].as_py(), k, raw[d][4 * start : 4 * stop]))
             if rows:
-                yield _passages(rows)
-
-    return encoded.mapInArrow(run, "doc_id long, size int, start long, ids binary")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "item", "ids"])
 
-
-def _passages(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "size", "start", "ids"])
+    return encoded.mapInArrow(run, "doc_id long, item int, ids binary")
 
 
 def _products(rows: list[bytes], idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,39 +263,33 @@ def verify(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
     """doc_id, item_id, cosine, matched, answer of passages that leak an item."""
     latent = np.stack([(basis[ids] * idf[ids][:, None]).sum(0) for ids in items.ids])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = passages.sparkSession.sparkContext.broadcast((items.item_id, items.ids, items.answers, items.classes(), idf, basis, latent))
+    shared = passages.sparkSession.sparkContext.broadcast((items.item_id, items.ids, items.answers, idf, basis, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_id, item_ids, answers, classes, weights, v, lat = shared.value
+        item_id, item_ids, answers, weights, v, lat = shared.value
         sequences = [ids.tolist() for ids in item_ids]
         heavy = [float(weights[ids].sum()) for ids in item_ids]
         closing = [float(weights[ids[a:]].sum()) for ids, a in zip(item_ids, answers, strict=True)]
         for b in batches:
-            sizes = b.column(1).to_numpy()
             out: list[tuple] = []
-            for size, members in classes.items():
-                own = np.flatnonzero(sizes == size)
-                for at in range(0, len(own), 1000):
-                    chosen = own[at : at + 1000]
-                    rows = b.column(3).take(pa.array(chosen)).to_pylist()
-                    product = _products(rows, weights, v)[3]
-                    product /= np.maximum(np.linalg.norm(product, axis=1, keepdims=True), 1e-12)
-                    cosine = product @ lat[members].T
-                    for p in np.flatnonzero((cosine >= s.cosine).any(1)).tolist():
-                        ids = np.frombuffer(rows[p], "<u4")
-                        masks: dict[int, int] = {}
-                        for j, x in enumerate(ids.tolist()):
-                            if x:
-                                masks[x] = masks.get(x, 0) | 1 << j
-                        for m in np.flatnonzero(cosine[p] >= s.cosine).tolist():
-                            k = members[m]
-                            if sum(weights[x] for x in sequences[k] if x in masks) < s.likely * heavy[k]:
-                                continue
-                            places = align(sequences[k], masks, len(ids))
-                            matched = float(sum(weights[sequences[k][i]] for i in places)) / heavy[k]
-                            answered = float(sum(weights[sequences[k][i]] for i in places if i >= answers[k])) / closing[k]
-                            if matched >= s.sure or (matched >= s.likely and answered >= s.answer):
-                                out.append((b.column(0)[int(chosen[p])].as_py(), item_id[k], float(cosine[p, m]), matched, answered))
+            for at in range(0, b.num_rows, 1000):
+                own = b.column(1).slice(at, 1000).to_numpy()
+                rows = b.column(2).slice(at, 1000).to_pylist()
+                product = _products(rows, weights, v)[3]
+                cosine = (product * lat[own]).sum(1) / np.maximum(np.linalg.norm(product, axis=1), 1e-12)
+                for p in np.flatnonzero(cosine >= s.cosine).tolist():
+                    k, masks = int(own[p]), {}
+                    ids = np.frombuffer(rows[p], "<u4").tolist()
+                    for j, x in enumerate(ids):
+                        if x:
+                            masks[x] = masks.get(x, 0) | 1 << j
+                    if sum(weights[x] for x in sequences[k] if x in masks) < s.likely * heavy[k]:
+                        continue
+                    places = align(sequences[k], masks, len(ids))
+                    matched = float(sum(weights[sequences[k][i]] for i in places)) / heavy[k]
+                    answered = float(sum(weights[sequences[k][i]] for i in places if i >= answers[k])) / closing[k]
+                    if matched >= s.sure or (matched >= s.likely and answered >= s.answer):
+                        out.append((b.column(0)[at + p].as_py(), item_id[k], float(cosine[p]), matched, answered))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *(pa.float64(),) * 3), strict=True)], names=["doc_id", "item_id", "cosine", "matched", "answer"])
 
