@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,6 +110,16 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def inflate(archive: bytes) -> bytes:
+    """An archive's bytes, its gzip members undone; plain archives as they are."""
+    out = []
+    while archive[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(archive))
+        archive = member.unused_data
+    return b"".join([*out, archive])
+
+
 def http_payload(block: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and decoded body of an HTTP response block."""
     head, _, body = block.partition(b"\r\n\r\n")
@@ -144,17 +155,18 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", body.alias("_body")).select("page_id", "url", "_body", F.sha1("_body").alias("_sha"), F.octet_length("_body").cast("long").alias("length"))
-    twin = Window.partitionBy("_sha", "page_id").orderBy("url")
+    base = base.withColumn("_key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # one shuffle then serves both the join and the window
+    twin = Window.partitionBy("_sha", "_key").orderBy("url")
     narrow = base.drop("_body").withColumn("_copy", F.row_number().over(twin))
     firsts = base.groupBy("_sha").agg(F.min("page_id").alias("first"))
     known = narrow.join(firsts, "_sha")
     response = (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("_copy") == 1)) | (F.col("length") < least)
     revisits = known.where(~response).select("page_id", "url", F.lit(None).cast("binary").alias("_body"), "_sha", "length", F.lit("revisit").alias("kind"), F.col("first").alias("refers_to"))
-    chosen = firsts.withColumnRenamed("_sha", "_own")
-    full = base.join(chosen, (F.col("_sha") == F.col("_own")) & F.col("page_id").eqNullSafe(F.col("first"))).withColumn("_copy", F.row_number().over(twin)).where((F.col("_copy") == 1) | (F.col("length") < least))
+    chosen = firsts.select("_sha", F.coalesce(F.col("first").cast("string"), F.lit("")).alias("_key"), "first")
+    full = base.join(chosen, ["_sha", "_key"]).withColumn("_copy", F.row_number().over(twin)).where((F.col("_copy") == 1) | (F.col("length") < least))
     wholes = full.select("page_id", "url", "_body", "_sha", "length", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
     if least > 0:
-        short = base.join(chosen, (F.col("_sha") == F.col("_own")) & ~F.col("page_id").eqNullSafe(F.col("first"))).where(F.col("length") < least)
+        short = base.join(chosen, ["_sha", "_key"], "left_anti").where(F.col("length") < least)
         wholes = wholes.unionAll(short.select("page_id", "url", "_body", "_sha", "length", F.lit("response"), F.lit(None).cast("long")))
     return wholes.unionAll(revisits).withColumn("digest", base32(F.col("_sha")))
 
@@ -173,7 +185,7 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT) -
 
     rows = typed(pages, least).select("page_id", "url", "_body", "kind", "refers_to", "digest", "length")
     per_file = max(1, ARCHIVE // (segment + 1024))
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -186,7 +198,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         for part in parts(batches, "content"):
             for content in part.column(0):
                 whole, cut = [], []
-                for fields, block in parse(content.as_py()):
+                for fields, block in parse(inflate(content.as_py())):
                     if "warc-segment-number" in fields:
                         origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
                         cut.append((origin, int(fields["warc-segment-number"]), int(fields.get("warc-segment-total-length", -1)), list(fields.items()), block))
