@@ -51,7 +51,7 @@ class WordEncoder:
         letters = [c for c in points if unicodedata.category(c)[0] == "L"]
         numbers = [c for c in points if unicodedata.category(c)[0] == "N"]
         others = [c for c in points if unicodedata.category(c)[0] not in "LN" and c not in " \t\r\n"]
-        self.known = frozenset(points) - {"İ"}
+        self.known = frozenset(c for c in points if set(c.lower()) <= set(points))
         self.runs = re.compile(f"[{escaped(letters)}]+|'s|'t|'re|'ve|'m|'ll|'d|[{escaped(numbers)}]|[{escaped(others)}]+")
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]] = True

@@ -70,7 +70,7 @@ class Counter:
         """Merge those pre-tokens that the whole-token table doesn't hold."""
         rest = []
         for p in pre_tokens:
-            if p in self.whole:
+            if p in self.whole or p == " ":  # the library drops an empty text's space, but not one inside or at the end of a text
                 self.parts[p] = 1
             else:
                 rest.append(p)
