@@ -42,6 +42,7 @@ class Settings:
     noisy_epochs: int = 2
     picked_epochs: int = 3
     rate: float = 0.5
+    steps: int = 1000
     threshold: float = 0.3
     seed: int = 7
 
@@ -127,7 +128,10 @@ def train_windows(windows: list[str], labels: np.ndarray, owners: np.ndarray, s:
         return np.bincount(np.repeat(np.arange(len(length)), length), of_words[tok], len(length)) / s.width + bias[1] - bias[0]
 
     usable = np.flatnonzero(length)
-    for epoch in range(s.noisy_epochs + s.picked_epochs):
+    epochs = s.noisy_epochs + s.picked_epochs
+    batch = min(max(len(usable) // 100, 32), 256)  # so few windows still make many steps
+    rounds = max(1, round(s.steps * batch / max(1, epochs * len(usable))))
+    for epoch in np.repeat(np.arange(epochs), rounds):
         rows = usable
         if epoch >= s.noisy_epochs:
             m = margins()
@@ -135,8 +139,8 @@ def train_windows(windows: list[str], labels: np.ndarray, owners: np.ndarray, s:
             place = np.arange(len(order)) - np.searchsorted(owners[order], owners[order])
             rows = order[(labels[order] == 0) | (place < 2)]
         rows = rng.permutation(rows)
-        for at in range(0, len(rows), 256):
-            step(rows[at : at + 256])
+        for at in range(0, len(rows), batch):
+            step(rows[at : at + batch])
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 

@@ -174,18 +174,20 @@ def test_leaks_find_copies_and_paraphrases(spark):
 
 def test_toxicity_learns_misspellings(spark):
     rng = random.Random(2)
+    common = [f"{a}{b}" for a in ("the", "wor", "lan", "mir", "tol", "ped") for b in ("a", "ing", "ed", "or", "ly", "es", "an")]
+    clean = lambda n: [rng.choice(common) for _ in range(n)]
     rows, labels = [], []
-    for i in range(400):
-        words = prose(rng, rng.randint(5, 200))
+    for i in range(800):
+        words = clean(rng.randint(5, 90))
         if i % 4 == 0:
             words[rng.randrange(len(words))] = rng.choice(["stupid", "stupidd", "worthless", "idiotic"])
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 4 == 0)))
-    rows += [(1000, " ".join([*prose(rng, 60), "stupiid", *prose(rng, 60)])), (1001, " ".join(prose(rng, 120))), (1002, None), (1003, "")]
+    rows += [(1000, " ".join([*clean(30), "stupiid", *clean(30)])), (1001, " ".join(clean(60))), (1002, None), (1003, "")]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(docs, known)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((got[i] >= 0.3) == (i % 4 == 0) for i in held) / len(held) > 0.95
     assert got[1000] > 0.3 > got[1001] and got[1002] == got[1003] and 0 <= got[1002] <= 1
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
