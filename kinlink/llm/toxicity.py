@@ -32,7 +32,7 @@ EDGES = "\"'`.,;:!?()[]{}<>|/\\+=~^-_*#$%&@«»“”„…"
 class Settings:
     """``sample`` labelled rows of each label are learned from at most, and ``windows`` windows of each."""
 
-    sample: int = 1500
+    sample: int = 3000
     windows: int = 32
     width: int = 32
     buckets: int = 1 << 17
@@ -171,8 +171,12 @@ class Scorer:
         return found
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Logistic scale and shift of margins by Newton's method, with Platt's smoothed targets."""
+def calibrate(margin: np.ndarray, label: np.ndarray, rarer: float = 1.0) -> tuple[float, float]:
+    """Logistic scale and shift of margins by Newton's method, with Platt's smoothed targets.
+
+    ``rarer`` is the odds of label 1 among all labelled rows over those in the
+    sample: a sample richer in toxic rows than the tables would score all too high.
+    """
     high, low = (label == 1).sum(), (label == 0).sum()
     if not high or not low:
         return 1.0, 0.0
@@ -184,7 +188,7 @@ def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
         w = w - np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w)
-    return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
+    return float(w[0] / spread), float(w[1] - w[0] * centre / spread + np.log(rarer))
 
 
 def remainder(doc_id) -> F.Column:
@@ -201,6 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     is a constant.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id") != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    of_label = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
+    rarer = min(1.0, s.sample / of_label.get(0, 1)) / min(1.0, s.sample / of_label.get(1, 1))
     mixed = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(mixed, "doc_id").limit(s.sample).unionAll(known.where("toxic = 0").orderBy(mixed, "doc_id").limit(s.sample))
 
@@ -231,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     ids, at = np.unique(owners[held], return_inverse=True)
     worst = np.full(len(ids), -np.inf)
     np.maximum.at(worst, at, margin)
-    scale, shift = calibrate(worst, label[held][np.unique(at, return_index=True)[1]])
+    scale, shift = calibrate(worst, label[held][np.unique(at, return_index=True)[1]], rarer)
     return Model(weights, bias, scale, shift, s)
 
 
