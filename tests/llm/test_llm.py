@@ -172,6 +172,22 @@ def test_leaks_find_copies_and_paraphrases(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 == decontaminate.leaks(docs, bench.limit(0)).count()
 
 
+def test_leaks_find_copies_beside_repeated_words(spark):
+    """Repeats of other items' words and lines turn a passage's vector away from the item it holds."""
+    rng = random.Random(12)
+    items = [" ".join(prose(rng, 30)) + ". " + " ".join(prose(rng, 8)) + "." for _ in range(200)]
+    rows = []
+    for k in range(20):
+        line = " ".join(items[100 + k].split()[:6]) + "\n"
+        around = (items[50 + k].split()[0] + " ") * 100 if k % 2 else line * 20
+        shuffled = items[k].split()
+        rng.shuffle(shuffled)
+        rows += [(k, f"{around}\n{items[k]}\n{around}"), (100 + k, f"{around}\n{' '.join(shuffled)}\n{around}"), (200 + k, around * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert got == {(k, k) for k in range(20)}
+
+
 def test_toxicity_learns_misspellings(spark):
     rng = random.Random(2)
     common = [f"{a}{b}" for a in ("the", "wor", "lan", "mir", "tol", "ped") for b in ("a", "ing", "ed", "or", "ly", "es", "an")]
