@@ -6,6 +6,7 @@ owner. Owners without rows stay in every denominator.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +39,32 @@ def summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def threshold_sweep(scored: DataFrame, truth: DataFrame, roster: DataFrame, steps: int = 20) -> DataFrame:
-    """threshold, macro_f for thresholds k/steps and one over all scores.
+#: The reference's grid, as its arange gives it: 0.05 to 1 in steps of 0.005, and one over all scores.
+FINE_GRID = (*np.arange(0.05, 1, 0.005).tolist(), 1.000001)
+
+
+def level_of(p: Column, steps: int, grid: tuple[float, ...] | None) -> Column:
+    """Place of the highest threshold that p reaches in ``grid`` (ascending) or among k/steps; negative for none."""
+    if grid is None:
+        return F.least(F.floor(p * steps + 1e-9).cast("int"), F.lit(steps))
+    return F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= p)) - 1
+
+
+def threshold_sweep(scored: DataFrame, truth: DataFrame, roster: DataFrame, steps: int = 20, grid: tuple[float, ...] | None = None) -> DataFrame:
+    """threshold, macro_f for the thresholds of ``grid``, or for k/steps and one over all scores.
 
     A pair counts for every threshold up to its score: per owner and step only
     sums are kept, then running sums give every threshold's counts, so pairs
     are never multiplied by thresholds.
     """
     labelled = scored.join(truth.withColumn("_true", F.lit(1)), ["s1_id", "target_id"], "left")
-    level = F.least(F.floor(F.col("p") * steps + 1e-9).cast("int"), F.lit(steps))
-    sums = labelled.groupBy("s1_id", level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("_true", F.lit(0))).alias("t"))
-    grid = roster.select("s1_id").join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("g")), "s1_id", "left").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(steps + 1))))
+    sums = labelled.groupBy("s1_id", level_of(F.col("p"), steps, grid).alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("_true", F.lit(0))).alias("t"))
+    last = steps + 1 if grid is None else len(grid) - 1
+    levels = roster.select("s1_id").join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("g")), "s1_id", "left").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
     above = Window.partitionBy("s1_id").orderBy(F.desc("level"))
-    at = grid.join(sums, ["s1_id", "level"], "left").select("level", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce(F.sum("k").over(above), F.lit(0)).alias("k"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"))
-    return at.groupBy("level").agg(F.avg(f_half(F.col("g"), F.col("k"), F.col("t"))).alias("macro_f")).select((F.col("level") / steps).alias("threshold"), "macro_f")
+    at = levels.join(sums, ["s1_id", "level"], "left").select("level", F.coalesce("g", F.lit(0)).alias("g"), F.coalesce(F.sum("k").over(above), F.lit(0)).alias("k"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"))
+    threshold = F.col("level") / steps if grid is None else F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("level") + 1)
+    return at.groupBy("level").agg(F.avg(f_half(F.col("g"), F.col("k"), F.col("t"))).alias("macro_f")).select(threshold.alias("threshold"), "macro_f")
 
 
 def best(table: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.functions.similarity import SCORERS
-from kinlink.operators.decisions import f_half
+from kinlink.operators.decisions import level_of
 
 #: Thresholds tried for seeds, least number of seed links, least observed precision.
 SEED_THRESHOLDS = (0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
@@ -104,28 +104,47 @@ def support_features(scored: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("s1_id", "target_id").agg(*measures)
 
 
-def two_threshold_sweep(scored: DataFrame, truth: DataFrame, roster: DataFrame, missing: str, steps: int = 20) -> DataFrame:
-    """address_threshold, missing_threshold, macro_f, one_threshold over the grid of k/steps and one over all scores.
+def policy_grid(reference: float) -> tuple[float, ...]:
+    """The reference's grid of two thresholds: steps of 0.01, its one threshold, and one over all scores."""
+    return tuple(np.unique(np.r_[np.round(np.arange(0.05, 1, 0.01), 8), reference, 1.000001]).tolist())
 
-    Pairs are summed once per owner, field state and step; each owner then
-    holds cumulative counts by step, and the grid only combines those.
+
+def two_threshold_sweep(scored: DataFrame, truth: DataFrame, roster: DataFrame, missing: str, steps: int = 20, grid: tuple[float, ...] | None = None) -> DataFrame:
+    """address_threshold, missing_threshold, macro_f, one_threshold over the square of ``grid``, or of k/steps and one over all scores.
+
+    Pairs are summed once per owner, field state and step; each task then adds
+    its owners' scores up over the square, so one row a cell leaves it.
     """
-    levels = F.sequence(F.lit(0), F.lit(steps + 1))
+    thresholds = [k / steps for k in range(steps + 2)] if grid is None else list(grid)
+    size = len(thresholds)
     labelled = scored.join(truth.withColumn("_true", F.lit(1)), ["s1_id", "target_id"], "left")
-    level = F.least(F.floor(F.col("p") * steps + 1e-9).cast("int"), F.lit(steps))
-    sums = labelled.groupBy("s1_id", (F.col(missing) == 1).alias("m"), level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("_true", F.lit(0))).alias("t"))
-    cells = sums.groupBy("s1_id").agg(F.collect_list(F.struct("m", "level", "k", "t")).alias("cells"))  # 2 * (steps + 1) at most
-    own = roster.select("s1_id").join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("g")), "s1_id", "left").join(cells, "s1_id", "left")
-
-    def above(state: bool, field: str) -> Column:
-        """Counts of pairs in a field state at each step or over it."""
-        return F.transform(levels, lambda at: F.aggregate(F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType)), F.lit(0).cast("long"), lambda acc, c: acc + F.when((F.coalesce(c.m, F.lit(False)) == state) & (c.level >= at), c[field]).otherwise(F.lit(0).cast("long"))))
-
-    own = own.select(F.coalesce("g", F.lit(0)).alias("g"), *[above(m, f).alias(f"{f}{int(m)}") for m in (False, True) for f in "kt"])
-    grid = own.withColumn("a", F.explode(levels)).withColumn("b", F.explode(levels))
-    at = lambda f: F.element_at(f"{f}0", F.col("a") + 1) + F.element_at(f"{f}1", F.col("b") + 1)
-    macro = grid.groupBy("a", "b").agg(F.avg(f_half(F.col("g"), at("k"), at("t"))).alias("macro_f"))
-    return macro.select((F.col("a") / steps).alias("address_threshold"), (F.col("b") / steps).alias("missing_threshold"), "macro_f", (F.col("a") == F.col("b")).alias("one_threshold"))
+    state = F.coalesce((F.col(missing) == 1).cast("int"), F.lit(0))
+    sums = labelled.groupBy("s1_id", state.alias("m"), level_of(F.col("p"), steps, grid).alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("_true", F.lit(0))).alias("t"))
+    cells = sums.where("level >= 0").groupBy("s1_id").agg(F.collect_list(F.array(*[F.col(c).cast("long") for c in ("m", "level", "k", "t")])).alias("cells"))  # 2 * len(thresholds) at most
+    own = roster.select("s1_id").join(truth.groupBy("s1_id").agg(F.count(F.lit(1)).alias("g")), "s1_id", "left").join(cells, "s1_id", "left").select(F.coalesce("g", F.lit(0)).alias("g"), "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((size, size)), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                g, rows = b.column(0).slice(at, 64).to_numpy(), b.column(1).slice(at, 64).to_pylist()
+                counts = np.zeros((2, 2, len(rows), size))  # pairs and hits, state, owner, step
+                for o, own_cells in enumerate(rows):
+                    for m, level, k, t in own_cells or ():
+                        counts[0, m, o, level] += k
+                        counts[1, m, o, level] += t
+                counts = counts[..., ::-1].cumsum(-1)[..., ::-1]
+                k, t = counts[:, 0, :, :, None] + counts[:, 1, :, None, :]
+                below = 0.25 * g[:, None, None] + k
+                total += np.where(below > 0, 1.25 * t / np.maximum(below, 0.25), 1.0).sum(0)
+                n += len(rows)
+        if n:
+            a, c = np.divmod(np.arange(size * size), size)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int32()), pa.array(total.ravel()), pa.array(np.full(size * size, n), pa.int64())], names=["a", "b", "f", "n"])
+
+    macro = own.mapInArrow(run, "a int, b int, f double, n long").groupBy("a", "b").agg((F.sum("f") / F.sum("n")).alias("macro_f"))
+    value = F.array(*[F.lit(t) for t in thresholds])
+    return macro.select(F.element_at(value, F.col("a") + 1).alias("address_threshold"), F.element_at(value, F.col("b") + 1).alias("missing_threshold"), "macro_f", (F.col("a") == F.col("b")).alias("one_threshold"))
 
 
 def best_policy(table: DataFrame) -> DataFrame:

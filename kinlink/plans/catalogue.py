@@ -289,6 +289,18 @@ def d4_threshold_sweep(spark, d):
     return dec.threshold_sweep(candidates(spark, d), truth(spark, d), roster(spark, d)).withColumn("macro_f", F.round("macro_f", 9))
 
 
+FINE_SQL = f"""fthr AS (SELECT unnest([{", ".join(f"{t!r}e0" for t in dec.FINE_GRID)}]) AS threshold), ftr AS (SELECT s1_id, count(*) AS g FROM truth GROUP BY 1),
+fpr AS (SELECT threshold, c.s1_id, count(*) AS k, count(t.s1_id) AS t FROM fthr JOIN cand c ON c.p >= threshold LEFT JOIN truth t ON c.s1_id = t.s1_id AND c.target_id = t.target_id GROUP BY ALL),
+fine AS (SELECT threshold, round(avg(CASE WHEN g = 0 AND k = 0 THEN 1.0 WHEN t = 0 THEN 0.0 ELSE CAST(1.25 * t AS DOUBLE) / CAST(0.25 * g + k AS DOUBLE) END), 9) AS macro_f
+  FROM (SELECT threshold, coalesce(g, 0) AS g, coalesce(k, 0) AS k, coalesce(t, 0) AS t FROM roster CROSS JOIN fthr LEFT JOIN ftr USING (s1_id) LEFT JOIN fpr USING (threshold, s1_id)) GROUP BY threshold)"""
+
+
+@query(f"WITH {CAND}, {FINE_SQL} SELECT * FROM fine")
+def d4_fine_threshold_sweep(spark, d):
+    """D4 over the reference's grid."""
+    return dec.threshold_sweep(candidates(spark, d), truth(spark, d), roster(spark, d), grid=dec.FINE_GRID).withColumn("macro_f", F.round("macro_f", 9))
+
+
 @query(f"""WITH {CAND} SELECT s1_id, target_id, p, count(*) OVER (PARTITION BY target_id) AS claimants,
   CASE WHEN row_number() OVER w = 1 THEN nth_value(p, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE first_value(p) OVER w END AS best_other_p FROM cand WINDOW w AS (PARTITION BY target_id ORDER BY p DESC, s1_id)""")
 def d9_claim_table(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinlink.operators import decisions as dec
 from kinlink.operators import evidence as ev
-from kinlink.plans.catalogue import CAND, FINAL, QUERIES, SQL, candidates, final, query, roster, table, truth
+from kinlink.plans.catalogue import CAND, FINAL, FINE_SQL, QUERIES, SQL, candidates, final, query, roster, table, truth
 
 __all__ = ["QUERIES", "SQL"]  # the catalogue's, with the queries below
 
@@ -62,6 +62,20 @@ def d6_two_threshold_sweep(spark, d):
     return ev.two_threshold_sweep(evidence(spark, d), truth(spark, d), roster(spark, d), "cand_addr_missing").withColumn("macro_f", F.round("macro_f", 9))
 
 
+FINE = f"""WITH {PROOF}, {FINE_SQL}, lv AS (SELECT unnest([{", ".join(f"{t!r}e0" for t in ev.policy_grid(1.000001))}]) AS lvl UNION SELECT * FROM (SELECT threshold FROM fine ORDER BY macro_f DESC, threshold DESC LIMIT 1)),
+pr AS (SELECT lvl, e.s1_id, cand_addr_missing AS m, count(*) AS k, count(t.s1_id) AS t FROM lv JOIN ev e ON e.p >= lvl LEFT JOIN truth t ON e.s1_id = t.s1_id AND e.target_id = t.target_id GROUP BY ALL),
+cell AS (SELECT r.s1_id, x.lvl AS a, y.lvl AS b, coalesce(ftr.g, 0) AS g, coalesce(p0.k, 0) + coalesce(p1.k, 0) AS k, coalesce(p0.t, 0) + coalesce(p1.t, 0) AS t FROM roster r CROSS JOIN lv x CROSS JOIN lv y LEFT JOIN ftr ON ftr.s1_id = r.s1_id
+  LEFT JOIN pr p0 ON p0.s1_id = r.s1_id AND p0.lvl = x.lvl AND p0.m = 0 LEFT JOIN pr p1 ON p1.s1_id = r.s1_id AND p1.lvl = y.lvl AND p1.m = 1)
+SELECT a AS address_threshold, b AS missing_threshold, round(avg(CASE WHEN g = 0 AND k = 0 THEN 1.0 WHEN t = 0 THEN 0.0 ELSE CAST(1.25 * t AS DOUBLE) / CAST(0.25 * g + k AS DOUBLE) END), 9) AS macro_f, a = b AS one_threshold FROM cell GROUP BY a, b"""
+
+
+@query(FINE)
+def d6_fine_two_threshold_sweep(spark, d):
+    """D6 over the reference's grid, with the threshold that the fine sweep chooses."""
+    one = dec.best(dec.threshold_sweep(candidates(spark, d), truth(spark, d), roster(spark, d), grid=dec.FINE_GRID)).first()["threshold"]
+    return ev.two_threshold_sweep(evidence(spark, d), truth(spark, d), roster(spark, d), "cand_addr_missing", grid=ev.policy_grid(one)).withColumn("macro_f", F.round("macro_f", 9))
+
+
 @query(f"WITH {PROOF} SELECT s1_id, target_id, p FROM ev WHERE p >= CASE WHEN cand_addr_missing = 1 THEN 0.7 ELSE 0.5 END")
 def p6_two_threshold_policy(spark, d):
     return ev.apply_policy(evidence(spark, d), "cand_addr_missing", 0.5, 0.7).select("s1_id", "target_id", "p")

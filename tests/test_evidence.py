@@ -80,6 +80,24 @@ def test_two_thresholds(spark):
     assert {r.target_id for r in ev.apply_policy(scored, "bare", 0.8, 0.5).collect()} == {"x", "z"}
 
 
+def test_two_fine_thresholds_equal_brute_force(spark):
+    rng = random.Random(3)
+    pairs = [(o, f"t{k}", rng.random(), rng.choice((0, 1, None))) for o in "abcde" for k in range(9)]
+    true = {(o, t) for o, t, p, _ in pairs if rng.random() < p}
+    grid = ev.policy_grid(0.8149999)
+    assert len(grid) == 97 and 0.81 in grid and 0.8149999 in grid
+    table = ev.two_threshold_sweep(spark.createDataFrame(pairs, "s1_id string, target_id string, p double, bare int"), spark.createDataFrame(sorted(true), "s1_id string, target_id string"), spark.createDataFrame([(o,) for o in "abcdef"], "s1_id string"), "bare", grid=grid)
+    got = {(r.address_threshold, r.missing_threshold): (r.macro_f, r.one_threshold) for r in table.collect()}
+    assert len(got) == 97**2
+    for a, b in rng.sample(sorted(got), 300):
+        f = []
+        for o in "abcdef":
+            kept = {(q, t) for q, t, p, m in pairs if q == o and p >= (b if m == 1 else a)}
+            g = sum(q == o for q, _ in true)
+            f.append(1.25 * len(kept & true) / (0.25 * g + len(kept)) if g or kept else 1.0)
+        assert got[a, b] == (pytest.approx(sum(f) / 6), a == b)
+
+
 def test_bootstrap(spark):
     """Intervals near those of resampled owners, whatever the partitions; zero denominators give null."""
     rng = np.random.default_rng(1)

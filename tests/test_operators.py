@@ -32,6 +32,17 @@ def test_sweep_prefers_the_empty_answer(spark):
     assert best["threshold"] > 0.9 and best["macro_f"] == 1
 
 
+def test_fine_sweep_finds_a_threshold_between_twentieths(spark):
+    """Only thresholds over 0.803 and up to 0.812 are right; 0.8 lets "y" in and 0.85 loses "x"."""
+    assert len(dec.FINE_GRID) == 191
+    scored = spark.createDataFrame([("a", "x", 0.812), ("a", "y", 0.803), ("a", "v", 0.01)], f"{PAIR}, p double")
+    truth = spark.createDataFrame([("a", "x")], PAIR)
+    table = dec.threshold_sweep(scored, truth, spark.createDataFrame([("a",), ("b",)], "s1_id string"), grid=dec.FINE_GRID)
+    assert [r["threshold"] for r in table.orderBy("threshold").collect()] == list(dec.FINE_GRID)
+    best = dec.best(table).first()
+    assert best["threshold"] == pytest.approx(0.81) and best["macro_f"] == 1
+
+
 def test_one_owner_and_claims(spark):
     claims = spark.createDataFrame([("b", "x", 0.9), ("a", "x", 0.9), ("c", "x", 0.8), ("c", "y", 0.1)], f"{PAIR}, p double")
     assert rows(dec.one_owner(claims), "s1_id", "target_id") == [("a", "x"), ("c", "y")]
