@@ -85,9 +85,11 @@ class Search:
     def _query(self, j: int, ids: np.ndarray, centre: np.ndarray, half: np.ndarray, exact: np.ndarray) -> None:
         k, upper = self.k, centre + half
         kth = self.scores[j][-1] if len(self.scores[j]) == k else -np.inf
-        if len(ids) > k + 1:  # one more, as a row may be the query's own
-            kth = max(kth, np.partition(centre - half, -(k + 1))[-(k + 1)])
-        places = np.flatnonzero((upper >= kth) & (ids != self.ids[j]))
+        others = ids != self.ids[j]  # any number of rows may be the query's own
+        low = (centre - half)[others]
+        if len(low) > k:
+            kth = max(kth, np.partition(low, -k)[-k])
+        places = np.flatnonzero((upper >= kth) & others)
         if not len(places):
             return
         places = places[np.argsort(-upper[places], kind="stable")]

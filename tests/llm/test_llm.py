@@ -241,6 +241,19 @@ def test_top_k_equals_brute_force(spark):
     assert vafile.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_a_query_whose_id_repeats():
+    """30 rows of the query's own id and of high score take no places of others in a block."""
+    rng = np.random.default_rng(2)
+    exact = np.floor(rng.normal(0, 12, (200, 8)))
+    ids = np.arange(200)
+    ids[:30] = 7
+    exact[:30] = 60
+    search = vafile.Search(np.array([7]), exact[:1], 20)
+    search.scan(ids, np.floor(exact / (1 << vafile.CELL_BITS)).astype(np.float32), exact)
+    want = sorted((-float(exact[i] @ exact[0]), i) for i in range(30, 200))[:20]
+    assert list(zip((-search.scores[0]).tolist(), search.found[0].tolist(), strict=True)) == want
+
+
 def test_transcripts_recover_roles(spark):
     rng = random.Random(6)
     rows = [(c, t, ("user", "assistant")[t % 2], " ".join(prose(rng, 8 if t % 2 == 0 else 40)) + "\n" + " ".join(prose(rng, 5))) for c in range(60) for t in range(4)]
