@@ -9,20 +9,21 @@ within their length.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import CACHE_LIMIT, load, materialise, parts, text_column
+from kinlink.llm.common import load, materialise, parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,32 +32,36 @@ RANK_BLOCK = 4096
 
 
 class WordEncoder:
-    """Ids of a lower-casing word-level BPE file, as little-endian 32-bit bytes.
+    """Ids of a lower-casing word-level BPE file.
 
     The file's splitter cuts a text into runs that its merges never cross, so
-    a text's ids are those of its runs, kept per distinct run and word. Only texts made
-    of characters on which the splitter is restated exactly take this way;
-    all others, and texts with "<|", go to the library whole.
+    a text's ids are those of its words, and each distinct word is encoded
+    once. Words are told apart by Arrow, and what is known of them stands in
+    flat arrays of at most ``room`` bytes, emptied when full: nothing is kept
+    per word as a Python object. Only texts made of characters on which the
+    splitter is restated exactly take this way; all others, and texts with
+    "<|", go to the library whole.
     """
 
     made: dict[str, WordEncoder] = {}
     POINTS = [*range(0x20, 0x7F), 0x0A, 0x0D, 0x09, *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 32 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already take all cores
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.room = Tokenizer.from_file(path), room
         escaped = lambda chars: "".join(re.escape(c) for c in chars)
         points = [chr(p) for p in self.POINTS]
         letters = [c for c in points if unicodedata.category(c)[0] == "L"]
         numbers = [c for c in points if unicodedata.category(c)[0] == "N"]
         others = [c for c in points if unicodedata.category(c)[0] not in "LN" and c not in " \t\r\n"]
-        self.known = frozenset(c for c in points if set(c.lower()) <= set(points))
+        known = [c for c, low in zip(points, pc.utf8_lower(pa.array(points)).to_pylist(), strict=True) if c.lower() == low and set(low) <= set(points)]
+        self.odd = "<\\||[^" + "".join(rf"\x{{{ord(c):x}}}" for c in known) + "]"
         self.runs = re.compile(f"[{escaped(letters)}]+|'s|'t|'re|'ve|'m|'ll|'d|[{escaped(numbers)}]|[{escaped(others)}]+")
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -64,34 +69,73 @@ class WordEncoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, runs: list[str]) -> None:
-        """Encode runs many at a time; each ends with its only token that ends a word."""
-        for at in range(0, len(runs), 2000):
-            some = runs[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                raw, last = ids.tobytes(), 0
-                for run, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self.parts[run] = raw[last:stop]
-                    last = stop
-            else:
-                self.parts.update((run, self.whole(run)) for run in some)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_LIMIT:
-            self.words.clear()
-            self.parts.clear()
-        split = [t.lower().split() if self.known.issuperset(t) and "<|" not in t else None for t in texts]
-        made = {w: self.runs.findall(w) for w in set(filterfalse(self.words.__contains__, chain.from_iterable(filter(None, split))))}
-        self.learn(list({r for rs in made.values() for r in rs} - self.parts.keys()))
-        for w, rs in made.items():
-            self.words[w] = self.parts[rs[0]] if len(rs) == 1 else b"".join(map(self.parts.__getitem__, rs))
-        get = self.words.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+    def forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Runs are encoded many at a time; each ends with its only token that ends a word."""
+        split = list(map(self.runs.findall, words))
+        place: dict[str, int] = {}
+        run = np.fromiter((place.setdefault(r, len(place)) for rs in split for r in rs), np.int64)
+        distinct = list(place)
+        ids, length = [], []
+        for at in range(0, len(distinct), 2000):
+            some = distinct[at : at + 2000]
+            made = self.whole(" ".join(some))
+            stops = np.flatnonzero(self.ends[made]) + 1
+            if len(stops) != len(some) or stops[-1] != len(made):
+                alone = [self.whole(r) for r in some]
+                made, stops = np.concatenate(alone), np.cumsum([len(x) for x in alone])
+            ids.append(made)
+            length.append(np.diff(stops, prepend=0))
+        if not ids:
+            return np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
+        flat, n = gather(np.concatenate(ids), np.concatenate(length), run)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        total = np.concatenate(([0], np.cumsum(n)))
+        ends = np.cumsum(sizes)
+        return flat, total[ends] - total[ends - sizes]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        found = lists.flatten().dictionary_encode()
+        if self.words.nbytes + self.ids.nbytes + self.length.nbytes > self.room:
+            self.forget()
+        place = pc.index_in(found.dictionary, value_set=self.words)
+        new = found.dictionary.filter(pc.is_null(place))
+        place = place.to_numpy(zero_copy_only=False)
+        missing = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+        where = np.where(missing, 0, place).astype(np.int64)
+        where[missing] = np.arange(len(self.words), len(self.words) + len(new))
+        if len(new):
+            ids, length = self.learn(new.to_pylist())
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
+        flat, n = gather(self.ids, self.length, where[found.indices.to_numpy()])
+        total = np.concatenate(([0], np.cumsum(n)))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        length = np.diff(total[ends], prepend=0)
+        if (at := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
+            cut = np.split(flat, np.cumsum(length)[:-1])
+            for k in at.tolist():
+                cut[k] = self.whole(texts[k].as_py())
+            flat, length = np.concatenate(cut), np.fromiter(map(len, cut), np.int64, len(cut))
+        return flat, length
+
+
+def gather(values: np.ndarray, length: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``picked`` of ``values``, which holds runs of the given lengths, and their lengths."""
+    n = length[picked]
+    ends = np.cumsum(n)
+    first = np.cumsum(length) - length
+    return values[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[picked] - (ends - n), n)], n
 
 
 def encode_pieces(docs: DataFrame, model_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -100,15 +144,17 @@ def encode_pieces(docs: DataFrame, model_file: str, capacity: int = CAPACITY, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder.of(model_file)
-        for part in parts(batches, "text", 4 << 20):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(text_column(part, "text")), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in parts(batches, "text", 8 << 20):
+            ids, length = encode(part.column(1))
+            count = length // capacity + 1  # with the end id no document is empty
+            row = np.repeat(np.arange(len(length)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            size = np.minimum(length[row] + 1 - piece * capacity, capacity)
+            last = piece == count[row] - 1
+            first = (np.cumsum(length) - length)[row] + piece * capacity
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(end if closes else b"", zlib.crc32(raw[4 * a : 4 * (a + n - closes)])) for a, n, closes in zip(first.tolist(), size.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,15 +36,20 @@ def test_token_counts_equal_the_library(spark, odd):
 def test_word_ids_equal_the_library():
     encode = packing.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
     texts = [t or "" for t in ODD] + ["".join(chr(p) for p in packing.WordEncoder.POINTS), *(f"a{chr(p)}b {chr(p)}" for p in packing.WordEncoder.POINTS)]
-    for text, ids in zip(texts, encode(texts), strict=True):
-        assert ids == encode.whole(text), text[:40]
+    for _ in range(2):
+        ids, length = encode(pa.array([*texts, None]))
+        for text, got in zip([*texts, ""], np.split(ids, np.cumsum(length)[:-1]), strict=True):
+            assert got.tolist() == encode.whole(text).tolist(), text[:40]
+    small = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), room=100)
+    for text in texts:  # forgets its words before every text
+        assert small(pa.array([text]))[0].tolist() == encode.whole(text).tolist(), text[:40]
 
 
 def test_packing_is_gapless_and_whole(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(odd, path, capacity=64).collect()
     encode = packing.WordEncoder.of(path)
-    assert sum(r["length"] for r in rows) == sum(len(x) // 4 + 1 for x in encode([r["text"] or "" for r in odd.collect()]))
+    assert sum(r["length"] for r in rows) == sum(encode(pa.array([r["text"] for r in odd.collect()]))[1] + 1)
     by = defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
