@@ -1,12 +1,15 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Documents of equal shingle sets are one node. Each node's MinHash values are
-dealt to prefix tries; matched prefixes are shortened from the full depth until
-the recall at the threshold reaches the target, and nodes that share a prefix
-become neighbours. Their components hold every pair that can be linked; within
-a component, all pairs are verified exactly on shingle sets in blocks, so a
-group of thousands of near copies spreads over tasks, and links are counted
-where they are found, never listed.
+Documents of equal shingle sets are one node. Each node has a label (a row of
+MinHash values) in every tree of the forest, and a tree is the sorted list of
+its labels: two nodes share a prefix of the trie exactly as far as the least
+of the matches between neighbours in the list from one to the other. Matched
+prefixes start at a label's full length and are shortened until the recall of
+a pair at the threshold reaches the target; neighbours in the list that match
+that far become edges. Their components hold every pair that can be linked;
+within a component, all pairs are verified exactly on shingle sets in blocks,
+so a group of thousands of near copies spreads over tasks, and links are
+counted where they are found, never listed.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import CACHE_LIMIT, hash64, load, materialise, parts, text_column
+from kinlink.llm.common import CACHE_LIMIT, hash64, load, materialise, named, parts, text_column
 from kinlink.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -33,18 +37,18 @@ class Settings:
 
     words: int = 5
     threshold: int = 800
-    hashes: int = 96
-    deepest: int = 12
+    trees: int = 24
+    deepest: int = 6
     recall: float = 0.99999
     block_rows: int = 256
     block_shingles: int = 400_000
     seed: int = 5
 
     def depth(self) -> int:
-        """The longest prefix at which the forest's recall at the threshold reaches the target."""
+        """Length of a matched prefix: shortened from the whole label until the forest's recall at the threshold reaches the target."""
         t = self.threshold / 1000
         for depth in range(self.deepest, 1, -1):
-            if 1 - (1 - t**depth) ** (self.hashes // depth) >= self.recall:
+            if 1 - (1 - t**depth) ** self.trees >= self.recall:
                 return depth
         return 1
 
@@ -83,46 +87,77 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, _set (hash of the shingle set), _n (shingles), _keys (one per trie)."""
-    depth = s.depth()
-    trees = s.hashes // depth
+    """doc_id, _text (hash of the text), _set (hash of the shingle set), _n (shingles), _labels (one label of 16-bit values a tree, in a row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.words)
         rng = np.random.default_rng(s.seed)
-        times = rng.integers(0, 2**31, s.hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-        plus = rng.integers(0, 2**32, s.hashes, dtype=np.uint64).astype(np.uint32)
+        hashes = s.trees * s.deepest
+        times = rng.integers(0, 2**31, hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+        plus = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)
         for part in parts(batches, "text", 4 << 20):
             sets = shingle(text_column(part, "text"))
             n = np.array([len(x) for x in sets])
             flat = np.concatenate(sets)
             starts = np.cumsum(n) - n
-            x = (flat >> np.uint64(32)).astype(np.uint32)
-            low = np.empty((len(sets), s.hashes), np.uint32)
-            for k in range(s.hashes):
-                y = x * times[k] + plus[k]
-                y ^= y >> np.uint32(15)
-                y *= np.uint32(0x2C1B3C6D)
+            x = (flat >> np.uint64(32)).astype(np.uint32)  # well mixed already, so a linear step a hash will do
+            y, low = np.empty_like(x), np.empty((len(sets), hashes), np.uint32)
+            for k in range(hashes):
+                np.multiply(x, times[k], out=y)
+                y += plus[k]
                 low[:, k] = np.minimum.reduceat(y, starts)
-            keys = np.zeros((len(sets), trees), np.uint64)
-            for d in range(depth):
-                keys = (keys + low[:, d * trees : (d + 1) * trees]) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= keys >> np.uint64(32)
-            keys = keys * np.uint64(64) + np.arange(trees, dtype=np.uint64) if trees > 64 else (keys & ~np.uint64(63)) + np.arange(trees, dtype=np.uint64)
+            labels = (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # 16 mixed bits of a least value tell it apart
             whole = np.add.reduceat(flat * np.uint64(0x94D049BB133111EB) ^ (flat >> np.uint64(31)), starts)
             mixed = np.bitwise_xor.reduceat(flat * np.uint64(0xD6E8FEB86659FD93), starts)
             names = [f"{a:x}-{b:x}-{c}" for a, b, c in zip(whole.tolist(), mixed.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * trees, trees), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))], names=["doc_id", "_set", "_n", "_keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(n, pa.int32()), pa.array([row.tobytes() for row in labels], pa.binary())], names=["doc_id", "_text", "_set", "_n", "_labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, _set string, _n int, _keys array<long>")
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
+    return texts.mapInArrow(run, "doc_id long, _text long, _set string, _n int, _labels binary")
 
 
-def candidate_components(nodes: DataFrame) -> DataFrame:
-    """node, root over nodes (node, _keys) that share a trie's prefix with the least node there."""
-    keyed = nodes.select("node", F.explode("_keys").alias("_key"))
-    least = keyed.groupBy("_key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("_key", "low")
-    edges = keyed.join(least, "_key").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(edges, "candidates")
+def forest_edges(nodes: DataFrame, s: Settings) -> DataFrame:
+    """a, b: neighbours in a tree's sorted labels that match in the first ``s.depth()`` values.
+
+    All trees are sorted in one go by ranges of (tree, label, node), so a
+    group of equal labels, however large, spreads over tasks. Each range is
+    walked once; its first and last row meet those of the next ranges in one
+    window of two rows a range.
+    """
+    depth, width = s.depth(), 2 * s.deepest
+    # A set this small can't reach the threshold with any other set, not even with one shingle more.
+    able = nodes.where(F.col("_n") * 1000 >= s.threshold * (F.col("_n") + 1))
+    rows = able.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.trees - 1)), lambda t: F.substring("_labels", t * width + 1, F.lit(width)))).alias("tree", "label"))
+    schema = "a long, b long, part int, side int, tree int, label binary"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        last = None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "part", "side", "tree", "label"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, tree, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            label = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, s.deepest)[:, :depth]
+            if last is None:
+                yield table([(int(node[0]), None, part, 0, int(tree[0]), raw[0].as_py())])
+            else:
+                node, tree, label = np.concatenate((last[0], node)), np.concatenate((last[1], tree)), np.concatenate((last[2], label))
+            met = np.flatnonzero((tree[1:] == tree[:-1]) & (label[1:] == label[:-1]).all(1))
+            if len(met):
+                none = pa.nulls(len(met), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(node[met + 1]), pa.array(node[met]), none, none, none, pa.nulls(len(met), pa.binary())], names=["a", "b", "part", "side", "tree", "label"])
+            last = node[-1:], tree[-1:], label[-1:], raw[len(raw) - 1].as_py()
+        if last is not None:
+            yield table([(int(last[0][0]), None, part, 1, int(last[1][0]), last[3])])
+
+    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    walked = materialise(ordered.select("node", "tree", "label").mapInArrow(walk, schema), "forest")
+    ends = Window.orderBy("part", "side")
+    met = walked.where("side IS NOT NULL").select("a", "tree", F.substring("label", 1, 2 * depth).alias("label"), "side", *(F.lag(c).over(ends).alias(f"_{c}") for c in ("a", "tree")), F.lag(F.substring("label", 1, 2 * depth)).over(ends).alias("_label"))
+    met = met.where("side = 0 AND tree = _tree AND label = _label").select("a", F.col("_a").alias("b"))
+    return walked.where("side IS NULL").select("a", "b").unionAll(met)
 
 
 def _linked(sets: list[np.ndarray], threshold: int, split: int | None) -> np.ndarray:
@@ -214,31 +249,39 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     A class is a component of the links; n_links counts the other documents
     linked to this one, copies included. Null texts are empty texts, and texts
-    without words are linked only to equal ones; rows with a null doc_id are
-    left out, as nothing could name them; rows that repeat a doc_id count as
-    copies, or as further texts of it; extra columns are not read; an empty
-    table gives no rows.
+    without words are linked only to equal ones; texts of any length are read
+    whole; rows with a null doc_id are left out, as nothing could name them;
+    rows that repeat a doc_id count as copies, or as further texts of it, each
+    with a row, a class and links of its own; extra columns are not read; an
+    empty table gives no rows.
     """
     known = docs.where(F.col("doc_id").isNotNull())
     signed = materialise(signatures(known, s), "signatures")
-    sets = materialise(signed.groupBy("_set").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("_keys").alias("_keys"), F.first("_n").alias("_n")), "sets")
-    # Where one id has several texts its least set stands for the node in the joins below.
-    nodes = sets.groupBy("node").agg(F.max_by(F.struct("_keys", "copies", "_n", "_set"), "_set").alias("x")).select("node", "x.*")
-    roots = materialise(candidate_components(nodes), "roots")
-    wanted = roots.join(nodes.select("node", "copies", "_n"), "node")
-    texts = known.select(F.col("doc_id").alias("node"), "text")
-    members = texts.join(wanted, "node").dropDuplicates(["node"])
+    # One node a set, numbered in the stored table; one of its rows lends its text to the verification.
+    nodes = signed.groupBy("_set").agg(F.min(F.struct("doc_id", "_text")).alias("_one"), F.count(F.lit(1)).alias("copies"), F.first("_labels").alias("_labels"), F.first("_n").alias("_n"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
+    roots = materialise(components(forest_edges(nodes, s), "candidates"), "roots")
+    wanted = roots.join(nodes.select("node", "copies", "_n", "_one"), "node").select("node", "root", "copies", "_n", "_one.doc_id", "_one._text")
+    texts = known.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
+    members = texts.join(wanted, ["doc_id", "_text"]).dropDuplicates(["node"])
     checked = materialise(verify(members, s), "links")
     merged = components(checked.where("NOT single AND low < node").select(F.col("node").alias("a"), F.col("low").alias("b")), "classes").withColumnRenamed("root", "_root")
-    found = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("low").alias("low")).join(merged, "node", "left").select("node", "links", F.coalesce("_root", "low").alias("class_id"))
-    of_set = sets.select("_set", "node", "copies").join(found, "node", "left").select("_set", F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "_set").join(of_set, "_set").select("doc_id", "class_id", "n_links")
+    found = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("low").alias("low")).join(merged, "node", "left").select("node", "links", F.coalesce("_root", "low").alias("root"))
+    of_node = nodes.join(found, "node", "left").select("_set", F.col("_one.doc_id").alias("least"), F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_node = materialise(of_node, "nodes")
+    least = of_node.groupBy("root").agg(F.min("least").alias("class_id"))
+    return signed.select("doc_id", "_set").join(of_node.join(least, "root").select("_set", "class_id", "n_links"), "_set").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that stand for their class; rows without an id stay."""
+    """The rows of ``docs`` that stand for their class, with all their columns, whatever those are called.
+
+    An id goes where a row of it is in a class of a lesser id: of the texts
+    that share an id all go or stay. Rows that repeat a kept id stay as they
+    are; rows without an id stay; an empty table gives no rows.
+    """
     gone = materialise(classes(docs, s).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
