@@ -6,11 +6,14 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Entries after which a per-worker word cache is emptied, so its memory stays bounded.
 CACHE_LIMIT = 1_000_000
@@ -75,18 +78,53 @@ def parts(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 << 2
         gc.enable()
 
 
-class Cache(dict):
-    """A dict that computes what it misses and empties itself when full."""
+class Lexicon:
+    """Words seen so far in one Arrow array; a word's place indexes the caller's own tables."""
 
-    def __init__(self, make: Callable, limit: int = CACHE_LIMIT):
-        super().__init__()
-        self.make, self.limit = make, limit
+    def __init__(self):
+        self.words = pa.array([], pa.string())
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+    def places(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Place of each of some distinct words, and those that are new; they take the next places in order."""
+        found = pc.index_in(words, value_set=self.words)
+        missing = found.is_null()
+        new, where = words.filter(missing), found.fill_null(0).to_numpy().astype(np.int64)
+        where[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.words), len(self.words) + len(new))
+        if len(new):
+            self.words = pa.concat_arrays([self.words, new])
+        return where, new
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Lower-case white-space words of all texts in a row (some may be empty), and how many each text has."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    return lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
+
+
+def gather(values: np.ndarray, length: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``picked`` of ``values``, which holds runs of the given lengths, and their lengths."""
+    n = length[picked]
+    ends = np.cumsum(n)
+    first = np.cumsum(length) - length
+    return values[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[picked] - (ends - n), n)], n
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column in ``taken`` is called so in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever marks a name holds."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def ddl(schema: StructType, columns: Iterable[str]) -> str:
+    """The fields of some columns as a schema string."""
+    return ", ".join(f"`{c.replace('`', '``')}` {schema[c].dataType.simpleString()}" for c in columns)
 
 
 def hash64(text: str) -> int:

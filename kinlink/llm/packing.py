@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import load, materialise, parts
+from kinlink.llm.common import Lexicon, gather, load, materialise, parts, split_words
 
 CAPACITY = 4096
 END_ID = 1
@@ -70,7 +70,7 @@ class WordEncoder:
         return cls.made[path]
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.string())
+        self.lexicon = Lexicon()
         self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> np.ndarray:
@@ -104,24 +104,15 @@ class WordEncoder:
         """Ids of all texts in a row, and how many each has."""
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, self.odd)
-        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
-        found = lists.flatten().dictionary_encode()
-        if self.words.nbytes + self.ids.nbytes + self.length.nbytes > self.room:
+        found, count = split_words(pc.if_else(odd, "", texts))
+        if self.lexicon.words.nbytes + self.ids.nbytes + self.length.nbytes > self.room:
             self.forget()
-        place = pc.index_in(found.dictionary, value_set=self.words)
-        new = found.dictionary.filter(pc.is_null(place))
-        place = place.to_numpy(zero_copy_only=False)
-        missing = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
-        where = np.where(missing, 0, place).astype(np.int64)
-        where[missing] = np.arange(len(self.words), len(self.words) + len(new))
+        where, new = self.lexicon.places(found.dictionary)
         if len(new):
             ids, length = self.learn(new.to_pylist())
-            self.words = pa.concat_arrays([self.words, new])
             self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
         flat, n = gather(self.ids, self.length, where[found.indices.to_numpy()])
-        total = np.concatenate(([0], np.cumsum(n)))
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-        length = np.diff(total[ends], prepend=0)
+        length = np.diff(np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)], prepend=0)
         if (at := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
             cut = np.split(flat, np.cumsum(length)[:-1])
             for k in at.tolist():
@@ -130,14 +121,6 @@ class WordEncoder:
         return flat, length
 
 
-def gather(values: np.ndarray, length: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``picked`` of ``values``, which holds runs of the given lengths, and their lengths."""
-    n = length[picked]
-    ends = np.cumsum(n)
-    first = np.cumsum(length) - length
-    return values[np.arange(ends[-1] if len(n) else 0) + np.repeat(first[picked] - (ends - n), n)], n
-
-
 def encode_pieces(docs: DataFrame, model_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
     end = end_id.to_bytes(4, "little")

@@ -15,25 +15,23 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, filterfalse, islice
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import CACHE_LIMIT, load, parts, text_column
+from kinlink.llm.common import Lexicon, ddl, fresh, gather, load, named, parts, split_words
 
 EDGES = "\"'`.,;:!?()[]{}<>|/\\+=~^-_*#$%&@«»“”„…"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` labelled rows of each label are learned from at most, and ``windows`` windows of each."""
+    """``sample`` labelled rows of each label are learned from at most, each with all its text."""
 
     sample: int = 3000
-    windows: int = 32
     width: int = 32
     buckets: int = 1 << 17
     dim: int = 8
@@ -56,53 +54,70 @@ class Model:
     settings: Settings
 
 
-def n_grams(word: str, s: Settings) -> list[int]:
-    """Buckets of a word: itself and its character n-grams, borders marked."""
-    marked = f"<{word}>"
-    found = {marked} | {marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in sorted(found)]
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case words of a text; a run of one word counts once, else a word repeated for pages would be a window of its own."""
-    words = text.lower().split()
-    new = [True, *map(ne, words, islice(words, 1, None))]
-    return words if all(new) else list(compress(words, new))
-
-
-def core(token: str) -> str:
-    return token.strip(EDGES) or token
+def n_grams(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words in a row, and how many each has: a word's edge marks go,
+    its borders are marked, and it counts as a whole and by its character n-grams."""
+    bare = pc.utf8_trim(words, characters=EDGES)
+    marked = pc.binary_join_element_wise("<", pc.if_else(pc.equal(bare, ""), words, bare), ">", "")
+    length = pc.utf8_length(marked).to_numpy().astype(np.int64)
+    codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum(length)
+    left = np.repeat(ends, length) - np.arange(len(codes))  # characters from here to the word's end
+    prime, found, owners = np.uint32(0x01000193), [], []
+    powers = np.cumprod(np.full(int(length.max(initial=1)), 0x9E3779B1, np.uint32), dtype=np.uint32)
+    if len(codes):
+        found.append(np.add.reduceat((codes + np.uint32(7)) * powers[np.repeat(length, length) - left], ends - length, dtype=np.uint32))
+        owners.append(np.arange(len(length)))
+    h = np.zeros(len(codes), np.uint32)
+    for n in range(1, s.longest + 1):
+        h[: len(codes) - n + 1] = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * prime
+        if n >= s.shortest:
+            at = np.flatnonzero(left >= n)
+            found.append(h[at] + np.uint32(n))
+            owners.append(np.repeat(np.arange(len(length)), np.maximum(length - n + 1, 0)))
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    mixed = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    mixed ^= mixed >> np.uint32(13)
+    order = np.argsort(owner, kind="stable")
+    return (mixed[order] % np.uint32(s.buckets)).astype(np.int64), np.bincount(owner, minlength=len(length))
+
+
+def sequences(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the places in them of all texts' words in a row, and how many each text has.
+
+    A run of one word counts once, else a word repeated for pages would be a window of its own.
+    """
+    found, count = split_words(texts)
+    at, owner = found.indices.to_numpy(), np.repeat(np.arange(len(count)), count)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    if (blank := pc.index(found.dictionary, "").as_py()) >= 0:
+        new &= at != blank
+    return found.dictionary, at[new].astype(np.int64), np.bincount(owner[new], minlength=len(count))
 
 
-def train_windows(windows: list[str], labels: np.ndarray, owners: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+def train_windows(windows: pa.Array, labels: np.ndarray, owners: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """Joint training; returns the weight of each bucket and the bias.
 
     First all windows carry their document's label; then only the two worst
     windows of a toxic document do, as its others may be clean.
     """
     rng = np.random.default_rng(s.seed)
-    index: dict[str, int] = {}
-    tokens = [[index.setdefault(core(t), len(index)) for t in words_of(w)] for w in windows]
-    grams = [n_grams(w, s) for w in index]
-    flat, size = np.fromiter(chain.from_iterable(grams), np.int64), np.fromiter(map(len, grams), np.int64, len(grams))
-    first = np.concatenate(([0], np.cumsum(size)))[:-1]
-    tok, length = np.fromiter(chain.from_iterable(tokens), np.int64), np.fromiter(map(len, tokens), np.int64, len(tokens))
-    start = np.concatenate(([0], np.cumsum(length)))[:-1]
+    words, tok, length = sequences(windows)
+    flat, size = n_grams(words, s)
+    first = np.cumsum(size) - size
     vectors = rng.normal(0, 0.3, (s.buckets, s.dim))
     out = rng.normal(0, 0.3, (s.dim, 2))
     bias = np.zeros(2)
     seen, seen_out, seen_bias = np.full((s.buckets, 1), 1e-4), np.full_like(out, 1e-4), np.full(2, 1e-4)
 
-    def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(n)
-        return np.arange(ends[-1] if len(n) else 0) + np.repeat(begin - (ends - n), n)
-
     def step(rows: np.ndarray) -> None:
         nonlocal out, bias
         n = length[rows]
-        words, inverse = np.unique(tok[ranges(start[rows], n)], return_inverse=True)
-        k = size[words]
-        gram, where = np.unique(flat[ranges(first[words], k)], return_inverse=True)
+        words, inverse = np.unique(gather(tok, length, rows)[0], return_inverse=True)
+        grams, k = gather(flat, size, words)
+        gram, where = np.unique(grams, return_inverse=True)
         of_word = np.repeat(np.arange(len(words)), k)
         word_vectors = np.add.reduceat(vectors[gram][where], np.cumsum(k) - k) / k[:, None]
         of_window = np.repeat(np.arange(len(rows)), n)
@@ -145,30 +160,31 @@ def train_windows(windows: list[str], labels: np.ndarray, owners: np.ndarray, s:
 
 
 class Scorer:
-    """Worst-window margins of texts; one per worker and model."""
-
-    def __init__(self, weights: np.ndarray, bias: float, s: Settings):
-        self.weights, self.bias, self.s = weights, bias, s
-        self.cache: dict[str, float] = {}
-
-    def _word(self, token: str) -> float:
-        return float(self.weights[n_grams(core(token), self.s)].mean())
-
-    def __call__(self, texts: list[str]) -> list[float]:
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache.clear()
-        split = [words_of(t) for t in texts]
-        for w in set(filterfalse(self.cache.__contains__, chain.from_iterable(split))):
-            self.cache[w] = self._word(w)
-        get, width, found = self.cache.__getitem__, self.s.width, []
-        for words in split:
-            sums = np.cumsum(np.fromiter(map(get, words), np.float64, len(words)))
-            if len(words) > width:
-                worst = max(float((sums[width:] - sums[:-width]).max()), float(sums[width - 1]))
-            else:
-                worst = float(sums[-1]) if len(words) else 0.0
-            found.append(worst / width + self.bias)
-        return found
+    """Worst-window margins of texts; one per worker and model.
+
+    Word weights are whole multiples of 2**-30, so equal texts get equal sums wherever they stand.
+    """
+
+    def __init__(self, weights: np.ndarray, bias: float, s: Settings, room: int = 32 << 20):
+        self.weights, self.bias, self.s, self.room = weights, bias, s, room
+        self.lexicon, self.known = Lexicon(), np.zeros(0, np.int64)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        words, at, count = sequences(texts)
+        if self.lexicon.words.nbytes + self.known.nbytes > self.room:
+            self.lexicon, self.known = Lexicon(), np.zeros(0, np.int64)
+        where, new = self.lexicon.places(words)
+        if len(new):
+            grams, size = n_grams(new, self.s)
+            mean = np.add.reduceat(self.weights[grams], np.cumsum(size) - size) / size
+            self.known = np.concatenate((self.known, np.rint(mean * 2**30).astype(np.int64)))
+        width, ends = self.s.width, np.cumsum(count)
+        total = np.concatenate(([0], np.cumsum(self.known[where[at]])))
+        worst = total[ends] - total[ends - count]
+        if (long := np.flatnonzero(count > width)).size:
+            sums = total[width:] - total[:-width]
+            worst[long] = [sums[b : e - width + 1].max() for b, e in zip((ends - count)[long].tolist(), ends[long].tolist(), strict=True)]
+        return worst / 2**30 / width + self.bias
 
 
 def calibrate(margin: np.ndarray, label: np.ndarray, rarer: float = 1.0) -> tuple[float, float]:
@@ -211,29 +227,27 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     picked = known.where("toxic = 1").orderBy(mixed, "doc_id").limit(s.sample).unionAll(known.where("toxic = 0").orderBy(mixed, "doc_id").limit(s.sample))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text"):
-            rows = []
-            for doc_id, toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_column(part, "text"), strict=True):
-                words = words_of(text)
-                starts = list(range(0, len(words), s.width))
-                step = max(1, -(-len(starts) // s.windows))
-                rows += [(doc_id, toxic, k, " ".join(words[k : k + s.width])) for k in starts[::step]]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "toxic", "at", "text"])
+        for part in parts(batches, "text", 4 << 20):
+            words, at, count = sequences(part.column(2))
+            row = np.repeat(np.arange(len(count)), count)
+            place = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)) // s.width
+            first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(place, prepend=-1))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([*first.tolist(), len(at)], pa.int32()), words.take(pa.array(at))), " ")
+            own = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(place[first], pa.int32()), texts], names=["doc_id", "toxic", "at", "text"])
 
     sampled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * s.sample ids
     got = sampled.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(cut, "doc_id long, toxic int, at int, text string").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending"), ("text", "ascending")])
-    owners, label, texts = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64), got["text"].to_pylist()
+    owners, label, texts = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64), got["text"].combine_chunks()
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(s.buckets), 0.0, 1.0, float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1))) if len(label) else -2.0, s)
     rest = np.array([zlib.crc32(str(i).encode()) % 4 == 3 for i in owners.tolist()])
     if len(set(label[~rest].tolist())) < 2:
         rest = np.zeros_like(rest)
     train = np.flatnonzero(~rest)
-    weights, bias = train_windows([texts[i] for i in train], label[train], owners[train], s)
+    weights, bias = train_windows(texts.take(pa.array(train)), label[train], owners[train], s)
     held = np.flatnonzero(rest) if len(set(label[rest].tolist())) == 2 else train
-    margin = np.array(Scorer(weights, bias, s)([texts[i] for i in held]))
+    margin = Scorer(weights, bias, s)(texts.take(pa.array(held)))
     ids, at = np.unique(owners[held], return_inverse=True)
     worst = np.full(len(ids), -np.inf)
     np.maximum.at(worst, at, margin)
@@ -241,26 +255,31 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return Model(weights, bias, scale, shift, s)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Add ``score`` (toxic likelier the higher, 0 to 1) to the columns ``keep``.
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Add ``name`` (toxic likelier the higher, 0 to 1) to the columns ``keep``.
 
     Null and empty texts get the score of a text without words; repeated rows
-    get equal scores; nothing but the text enters. One scan, no shuffle.
+    get equal scores; a text of any length is read whole; nothing but the text
+    enters; an empty table gives no rows. ``name`` must differ from all of
+    ``keep`` (``fresh`` finds such a one). One scan, no shuffle.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift, model.settings))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift, model.settings))
     wanted = list(dict.fromkeys([*keep, "text"]))
-    out = [*(docs.schema[c] for c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, scale, shift, s = shared.value
         scorer = Scorer(weights, bias, s)
-        for part in parts(batches, "text", 8 << 20):
-            z = np.clip(scale * np.array(scorer(text_column(part, "text"))) + shift, -500, 500)
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*keep, "score"])
+        for part in parts(batches, "text", 4 << 20):
+            z = np.clip(scale * scorer(part.column(wanted.index("text"))) + shift, -500, 500)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*keep, name])
+
+    return docs.select(*named(wanted)).mapInArrow(run, f"{ddl(docs.schema, keep)}, `{name}` double")
+
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), "score double"])
-    return docs.select(*wanted).mapInArrow(run, fields)
+def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever those are called."""
+    name = fresh(docs.columns, "score")
+    return score(docs, model, docs.columns, name).where(F.col(name) < model.settings.threshold).select(*named(docs.columns))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
