@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import CACHE_LIMIT, hash64, load, materialise, named, parts, text_column
+from kinlink.llm.common import Lexicon, gather, hash64, load, materialise, named, parts, split_words
 from kinlink.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -58,36 +57,57 @@ class Shingler:
 
     Words are runs of word characters in lower case. Fewer words than a
     shingle make one shingle; a text without words is one shingle of its own
-    characters, so equal texts still meet.
+    characters, so equal texts still meet. Hashes of the words between white
+    space are kept in flat arrays of at most ``room`` bytes.
     """
 
-    def __init__(self, words: int):
-        self.n = words
-        self.cache: dict[str, int] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache.clear()
-        split = [WORD.findall(t.lower()) for t in texts]
-        for w in set(filterfalse(self.cache.__contains__, chain.from_iterable(split))):
-            self.cache[w] = hash64(w)
-        get, found = self.cache.__getitem__, []
-        for words, text in zip(split, texts, strict=True):
-            if not words:
-                found.append(np.array([hash64("\0" + text)], np.uint64))
-                continue
-            h = np.fromiter(map(get, words), np.uint64, len(words))
-            n = min(self.n, len(words))
-            s = h[: len(h) - n + 1].copy()
-            for k in range(1, n):
-                s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-                s ^= s >> np.uint64(29)
-            found.append(np.unique(s * np.uint64(0xBF58476D1CE4E5B9)))
-        return found
+    def __init__(self, words: int, room: int = 32 << 20):
+        self.n, self.room = words, room
+        self.forget()
+
+    def forget(self) -> None:
+        self.lexicon, self.hashes, self.length = Lexicon(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def learn(self, tokens: list[str]) -> None:
+        split = list(map(WORD.findall, tokens))
+        made = {w: hash64(w) for w in {w for ws in split for w in ws}}
+        flat = np.fromiter((made[w] for ws in split for w in ws), np.uint64)
+        self.hashes = np.concatenate((self.hashes, flat))
+        self.length = np.concatenate((self.length, np.fromiter(map(len, split), np.int64, len(split))))
+
+    def _roll(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of ``n`` words."""
+        s = h[: len(h) - n + 1].copy()
+        for k in range(1, n):
+            s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+            s ^= s >> np.uint64(29)
+        return s * np.uint64(0xBF58476D1CE4E5B9)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        found, count = split_words(texts)
+        if self.lexicon.words.nbytes + self.hashes.nbytes + self.length.nbytes > self.room:
+            self.forget()
+        where, new = self.lexicon.places(found.dictionary)
+        if len(new):
+            self.learn(new.to_pylist())
+        h, n = gather(self.hashes, self.length, where[found.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)].tolist()
+        long = self._roll(h, self.n) if len(h) >= self.n else h
+        sets, begin = [], 0
+        for k, end in enumerate(ends):
+            if end - begin >= self.n:
+                sets.append(np.unique(long[begin : end - self.n + 1]))
+            elif end > begin:
+                sets.append(self._roll(h[begin:end], end - begin))
+            else:
+                sets.append(np.array([hash64("\0" + (texts[k].as_py() or ""))], np.uint64))
+            begin = end
+        return sets
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, _text (hash of the text), _set (hash of the shingle set), _n (shingles), _labels (one label of 16-bit values a tree, in a row)."""
+    """doc_id, _text (hash of the text), _set (hash of the shingle set), _n (shingles), and the label in each tree: _front (the values that are matched), _back (the rest)."""
+    depth = s.depth()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.words)
@@ -96,7 +116,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
         times = rng.integers(0, 2**31, hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         plus = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)
         for part in parts(batches, "text", 4 << 20):
-            sets = shingle(text_column(part, "text"))
+            sets = shingle(part.column(2))
             n = np.array([len(x) for x in sets])
             flat = np.concatenate(sets)
             starts = np.cumsum(n) - n
@@ -106,57 +126,60 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 np.multiply(x, times[k], out=y)
                 y += plus[k]
                 low[:, k] = np.minimum.reduceat(y, starts)
-            labels = (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # 16 mixed bits of a least value tell it apart
+            labels = (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint64).reshape(len(sets), s.deepest, s.trees)  # 16 mixed bits of a least value tell it apart
+            front, back = (np.zeros((len(sets), s.trees), np.uint64) for _ in range(2))
+            for d in range(s.deepest):
+                to = front if d < depth else back
+                to *= np.uint64(65536 if d < 4 or d >= depth else 0x9E3779B97F4A7C15)  # up to four values stand side by side, more are mixed
+                to += labels[:, d]
             whole = np.add.reduceat(flat * np.uint64(0x94D049BB133111EB) ^ (flat >> np.uint64(31)), starts)
             mixed = np.bitwise_xor.reduceat(flat * np.uint64(0xD6E8FEB86659FD93), starts)
             names = [f"{a:x}-{b:x}-{c}" for a, b, c in zip(whole.tolist(), mixed.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(n, pa.int32()), pa.array([row.tobytes() for row in labels], pa.binary())], names=["doc_id", "_text", "_set", "_n", "_labels"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(n, pa.int32()), *(pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), s.trees).cast(pa.list_(pa.int64())) for x in (front, back))], names=["doc_id", "_text", "_set", "_n", "_front", "_back"])
 
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
-    return texts.mapInArrow(run, "doc_id long, _text long, _set string, _n int, _labels binary")
+    return texts.mapInArrow(run, "doc_id long, _text long, _set string, _n int, _front array<long>, _back array<long>")
 
 
 def forest_edges(nodes: DataFrame, s: Settings) -> DataFrame:
     """a, b: neighbours in a tree's sorted labels that match in the first ``s.depth()`` values.
 
-    All trees are sorted in one go by ranges of (tree, label, node), so a
+    All trees are sorted in one go by ranges of (label, tree, node), so a
     group of equal labels, however large, spreads over tasks. Each range is
     walked once; its first and last row meet those of the next ranges in one
     window of two rows a range.
     """
-    depth, width = s.depth(), 2 * s.deepest
     # A set this small can't reach the threshold with any other set, not even with one shingle more.
     able = nodes.where(F.col("_n") * 1000 >= s.threshold * (F.col("_n") + 1))
-    rows = able.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.trees - 1)), lambda t: F.substring("_labels", t * width + 1, F.lit(width)))).alias("tree", "label"))
-    schema = "a long, b long, part int, side int, tree int, label binary"
+    rows = able.select("node", "_back", F.posexplode("_front").alias("tree", "front")).select("node", "tree", "front", F.get("_back", "tree").alias("back"))
+    keys, names = ["front", "tree", "back", "node"], ["a", "b", "part", "side", "tree", "front"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        end = lambda last, side: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0][-1], None, part, side, last[1][-1], last[2][-1]), kinds, strict=True)], names=names)
         last = None
-        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "part", "side", "tree", "label"])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, tree, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            label = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, s.deepest)[:, :depth]
+            now = [batch.column(k).to_numpy() for k in range(3)]
             if last is None:
-                yield table([(int(node[0]), None, part, 0, int(tree[0]), raw[0].as_py())])
+                yield end([x[:1] for x in now], 0)
             else:
-                node, tree, label = np.concatenate((last[0], node)), np.concatenate((last[1], tree)), np.concatenate((last[2], label))
-            met = np.flatnonzero((tree[1:] == tree[:-1]) & (label[1:] == label[:-1]).all(1))
+                now = [np.concatenate((x[-1:], y)) for x, y in zip(last, now, strict=True)]
+            node, tree, front = now
+            met = np.flatnonzero((tree[1:] == tree[:-1]) & (front[1:] == front[:-1]))
             if len(met):
-                none = pa.nulls(len(met), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(node[met + 1]), pa.array(node[met]), none, none, none, pa.nulls(len(met), pa.binary())], names=["a", "b", "part", "side", "tree", "label"])
-            last = node[-1:], tree[-1:], label[-1:], raw[len(raw) - 1].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(node[met + 1]), pa.array(node[met]), *(pa.nulls(len(met), t) for t in kinds[2:])], names=names)
+            last = now
         if last is not None:
-            yield table([(int(last[0][0]), None, part, 1, int(last[1][0]), last[3])])
+            yield end(last, 1)
 
-    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    walked = materialise(ordered.select("node", "tree", "label").mapInArrow(walk, schema), "forest")
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    walked = materialise(ordered.select("node", "tree", "front").mapInArrow(walk, "a long, b long, part int, side int, tree int, front long"), "forest")
     ends = Window.orderBy("part", "side")
-    met = walked.where("side IS NOT NULL").select("a", "tree", F.substring("label", 1, 2 * depth).alias("label"), "side", *(F.lag(c).over(ends).alias(f"_{c}") for c in ("a", "tree")), F.lag(F.substring("label", 1, 2 * depth)).over(ends).alias("_label"))
-    met = met.where("side = 0 AND tree = _tree AND label = _label").select("a", F.col("_a").alias("b"))
+    met = walked.where("side IS NOT NULL").withColumns({f"_{c}": F.lag(c).over(ends) for c in ("a", "tree", "front")})
+    met = met.where("side = 0 AND tree = _tree AND front = _front").select("a", F.col("_a").alias("b"))
     return walked.where("side IS NULL").select("a", "b").unionAll(met)
 
 
@@ -212,7 +235,7 @@ def verify(members: DataFrame, s: Settings) -> DataFrame:
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(s.words)
         for part in parts(batches, "text", 4 << 20):
-            sets = shingle(text_column(part, "text"))
+            sets = shingle(part.column(4))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "root", "copies", "_blocks", "_shingles"])
 
     rows = members.join(sizes, "root").select("node", "root", "copies", "_blocks", "text").mapInArrow(shingled, "node long, root long, copies long, _blocks int, _shingles binary")
@@ -258,7 +281,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     signed = materialise(signatures(known, s), "signatures")
     # One node a set, numbered in the stored table; one of its rows lends its text to the verification.
-    nodes = signed.groupBy("_set").agg(F.min(F.struct("doc_id", "_text")).alias("_one"), F.count(F.lit(1)).alias("copies"), F.first("_labels").alias("_labels"), F.first("_n").alias("_n"))
+    nodes = signed.groupBy("_set").agg(F.min(F.struct("doc_id", "_text")).alias("_one"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("_front", "_back", "_n")))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
     roots = materialise(components(forest_edges(nodes, s), "candidates"), "roots")
     wanted = roots.join(nodes.select("node", "copies", "_n", "_one"), "node").select("node", "root", "copies", "_n", "_one.doc_id", "_one._text")

@@ -154,6 +154,13 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert jaccard.classes(frame.limit(0)).count() == 0
 
 
+def test_jaccard_of_an_id_with_two_texts(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("w", 40)), (1, words("x", 40)), (2, words("w", 39)), (3, words("x", 39)), (3, words("x", 39)), (4, words("y", 40))]
+    got = Counter(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter({(1, 1, 1): 1, (1, 1, 2): 1, (2, 1, 1): 1, (3, 1, 2): 2, (4, 4, 0): 1})
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
