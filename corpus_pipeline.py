@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents.
+return the columns of documents, whatever they are called. Null and empty
+texts are read as empty ones, texts of any length whole; repeated rows and
+rows without an id pass wherever a stage keeps them; an empty table gives an
+empty one. This module needs ``kinlink.llm`` and goes with it.
 """
 
 from __future__ import annotations
@@ -11,35 +14,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinlink.llm import decontaminate, jaccard, packing, quality, toxicity
 from kinlink.llm.common import load, materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality reaches one half."""
+    """Documents whose posterior quality reaches one half; without labels of both kinds, as the share of good labels says."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
-    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < model.settings.threshold).select(*docs.columns)
+    """Documents that score below the toxicity threshold; a text without words scores as the bias alone."""
+    return toxicity.keep_civil(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near copies."""
+    """One document, that of least id, of each group of near copies; rows without an id stay."""
     return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; rows without an id stay."""
     return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences; an empty text is its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -56,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored in the shared folder."""
+    """All stages over the whole of ``documents``, each stored in the shared folder; empty tables give no pieces."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
