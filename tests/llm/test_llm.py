@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and odd inputs."""
 
+import os
 import random
 import re
 import zlib
@@ -99,16 +100,66 @@ def test_warc_round_trip(spark, tmp_path):
 def test_pages_keep_articles_and_drop_shared_template(spark):
     marked = "<html><head><title>t</title></head><body><nav>menu</nav><header>top</header><article><header>by</header><h1>A &amp; B</h1><p>one <b>two</b>\n three<p>four<div class='comments'>no</div></article><footer>f</footer>"
     plain = lambda x: f"<body><div>Site of all</div><p>{x}</p><div>Made by us</div><script>var a='<p>no</p>'</script><form>q</form>"
+    boxed = lambda x: f"<article><div class='entry-header'><p>{x}</p></div><div class='notice'>Read our rules</div><p>Body {x}</p></article>"
     rows = [(1, "http://h/a/1", plain("first text")), (2, "http://h/a/2", plain("second text")), (3, "http://g/x", marked), (4, None, None), (5, "http://h/a/2", plain("second text")), (6, "http://lone/", plain("alone"))]
-    got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_row", F.lit(1))).collect()}
-    assert got[1]["text"] == "first text"
-    assert got[3]["text"] == "by\nA & B\none two three\nfour"
-    assert (got[4]["text"], got[4]["n_chars"]) == ("", 0)
-    assert got[6]["text"] == "Site of all\nalone\nMade by us"
-    assert "second text" in got[2]["text"] and "second text" in got[5]["text"]
+    rows += [(7, "http://b/1", boxed("x")), (8, "http://b/2", boxed("y")), (None, "http://b/3", boxed("z")), (9, "http://h/a/2", plain("second text")), (9, "http://h/a/2", plain("second text"))]
+    for ranges in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["page_id"]: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_row", F.lit(1))).collect()}
+        assert got[1]["text"] == "first text"
+        assert got[2]["text"] == got[5]["text"] == got[9]["text"] == "second text"
+        assert got[3]["text"] == "by\nA & B\none two three\nfour"
+        assert (got[4]["text"], got[4]["n_chars"]) == ("", 0)
+        assert got[6]["text"] == "Site of all\nalone\nMade by us"
+        assert (got[7]["text"], got[8]["text"], got[None]["text"]) == ("x\nBody x", "y\nBody y", "z\nBody z")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>Body</p></article>", "Title\nBody"),
+    ("<form action='x'><div><article><p>Body</p><form>q</form></article></div><p>no</p></form>", "Body"),
+    ("<article><p>Body</p></article><section><h2>More</h2><article class='teaser'><p>Next</p></article></section>", "Body"),
+    ("<article><p class='lead share'>Lead</p><figure><img><figcaption>Fig</figcaption></figure><p>Body <math><mi>x</mi></math></p></article>", "Lead\nFig\nBody x"),
+    ("<article><h2 id='side-effects'>Side</h2><section id='related-work'><p>Work</p></section><article class='comment'>Hi</article><div class='ad'>Buy</div></article>", "Side\nWork"),
+    ("<article class='teaser'><p>Only</p></article>", "Only"),
+    ("<div>" * 30000 + "deep" + "</div>" * 30000, "deep"),
+    ("<p>a<script>x</p>", "a"),
+])
+def test_lines_of_a_page(html, text):
+    assert "\n".join(t for _, t in pages.candidates(html)) == text
+
+
+def test_pages_against_brute_force(spark):
+    """Every page against the nearest other content of its host, found by looking at all of them."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["h", "h", "h", "g", "k"])
+        body = rng.sample([f"line {k}" for k in range(14)], rng.randint(1, 5)) if rng.random() < 0.8 else ["copy", "of all"]
+        tag = "article" if rng.random() < 0.2 else "div"
+        rows.append((i, f"http://{host}/{rng.randrange(3)}/{rng.randrange(9)}/{i % 40}", f"<p>Top of {host}</p><{tag}>" + "".join(f"<p>{x}</p>" for x in body) + f"</{tag}><p>End</p>"))
+    lines = {i: pages.candidates(html) for i, _, html in rows}
+    order = sorted(rows, key=lambda r: (*pages.address(r[1]), r[0]))
+    want = {}
+    for k, (i, url, _) in enumerate(order):
+        host, path = pages.address(url)
+        texts = [t for _, t in lines[i]]
+        near = [next(((j, u) for j, u, _ in side if pages.address(u)[0] == host and [t for _, t in lines[j]] != texts), None) for side in (order[:k][::-1], order[k + 1 :])]
+        near = [(2 * len(os.path.commonprefix((path, pages.address(x[1])[1]))) + 1 - n, x[0]) for n, x in enumerate(near) if x]
+        kept = texts
+        if near:
+            shared = set(pages.shared_places(texts, [t for _, t in lines[max(near)[1]]]))
+            kept = [t for n, (s, t) in enumerate(lines[i]) if s == pages.ARTICLE or n not in shared] or texts
+        want[i] = "\n".join(kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
 def test_shared_places_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
@@ -117,6 +168,7 @@ def test_shared_places_is_a_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        pages.TABLE_BITS = rng.choice([1, 8, 1 << 27])
         places, rest = pages.shared_places(a, b), iter(b)
         assert len(places) == table[-1][-1] and all(a[i] in rest for i in places)
 
