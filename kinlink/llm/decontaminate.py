@@ -1,13 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents become sequences of benchmark-vocabulary ids. Windows that hold
-enough of an item's heaviest terms (a prefix filter that loses nothing the final
-check would accept) are the passages. Those whose words hold enough of the item's idf mass
-are checked by longest common subsequence with the item and by its answer, so
-paraphrases with replaced or inserted words are found too. A distributed
-randomised SVD of the passages' TF-IDF rows gives a latent space; the cosine
-there is reported with each leak but rejects none, as text repeated beside a
-copy turns the passage's vector away from the item.
+Documents become sequences of benchmark-vocabulary ids. A distributed
+randomised SVD of the TF-IDF rows of all passages of all documents gives a
+latent space; every item-sized window of every document is searched there for
+items by cosine. As a rank that a corpus can afford doesn't tell all copies
+from the background, windows that hold enough of an item's heaviest terms (a
+prefix filter that loses nothing the final check would accept) are candidates
+too. All candidates are checked by longest common subsequence with the item
+and by its answer, so paraphrases with replaced or inserted words are found.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import load, materialise, parts, text_column
+from kinlink.llm.common import Lexicon, gather, load, materialise, named, parts, split_words
 
 WORD = re.compile(r"\w+")
-#: Items of one round: what is broadcast is their vocabulary and latent vectors.
-GROUP = 2000
+#: Items of one round over the corpus: what is broadcast is their vocabulary (some 300,000 words) and latent vectors.
+GROUP = 5000
 TERM_BLOCK = 512
+BLOCK, PASSAGE = 16, 64
+#: Words whose latent rows are in memory at once, and cells of the table that holds items' term weights.
+CHUNK, CELLS = 100_000, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -34,13 +37,13 @@ class Settings:
     """A passage leaks an item if the aligned words hold ``sure`` of its idf
     mass, or ``likely`` of it and ``answer`` of its last sentence's."""
 
-    likely: float = 0.55
-    sure: float = 0.75
+    likely: float = 0.5
+    sure: float = 0.6
     answer: float = 0.6
     share: float = 0.7
     rank: int = 64
     oversample: int = 8
-    passages_per_task: int = 100_000
+    cosine: float = 0.45  #: of a window and an item, from which they are candidates
     seed: int = 11
 
 
@@ -92,18 +95,41 @@ def align(a: list[int], masks: dict[int, int], n: int) -> list[int]:
     return found[::-1]
 
 
+class Encoder:
+    """Vocabulary ids of texts' words; those of a token between white space are kept in flat arrays of at most ``room`` bytes."""
+
+    def __init__(self, vocabulary: dict[str, int], room: int = 32 << 20):
+        self.vocabulary, self.room = vocabulary, room
+        self.forget()
+
+    def forget(self) -> None:
+        self.lexicon, self.ids, self.length = Lexicon(), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        found, count = split_words(texts)
+        if self.lexicon.words.nbytes + self.ids.nbytes + self.length.nbytes > self.room:
+            self.forget()
+        where, new = self.lexicon.places(found.dictionary)
+        if len(new):
+            get = self.vocabulary.get
+            split = [[get(w, 0) for w in WORD.findall(t)] for t in new.to_pylist()]
+            self.ids = np.concatenate((self.ids, np.fromiter((i for x in split for i in x), "<u4")))
+            self.length = np.concatenate((self.length, np.fromiter(map(len, split), np.int64, len(split))))
+        flat, n = gather(self.ids, self.length, where[found.indices.to_numpy()])
+        return flat, np.diff(np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)], prepend=0)
+
+
 def encode(docs: DataFrame, items: Items) -> DataFrame:
     """doc_id, ids (little-endian uint32 of every word of the whole text)."""
     shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        encoder = Encoder(shared.value)
         for part in parts(batches, "text", 8 << 20):
-            out = []
-            for text in text_column(part, "text"):
-                words = WORD.findall(text.lower())
-                out.append(np.fromiter((get(w, 0) for w in words), "<u4", len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            flat, n = encoder(part.column(1))
+            ends = pa.array(np.concatenate(([0], np.cumsum(4 * n))), pa.int32()).buffers()[1]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(flat)])], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -209,34 +235,55 @@ def screen(encoded: DataFrame, items: Items, idf: np.ndarray, s: Settings) -> Da
     return encoded.mapInArrow(run, "doc_id long, item int, ids binary")
 
 
-def _products(rows: list[bytes], idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows (passage, term, weight of unit length) and their product with ``right``."""
-    length = np.array([len(r) // 4 for r in rows])
-    ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
-    passage = np.repeat(np.arange(len(rows)), length)
-    key, n = np.unique(passage * len(idf) + ids, return_counts=True)
-    passage, term = key // len(idf), key % len(idf)
-    weight = n * idf[term]
-    norm = np.sqrt(np.bincount(passage, weight**2, len(rows)))
-    weight = weight / np.maximum(norm[passage], 1e-12)
-    starts = np.searchsorted(passage, np.arange(len(rows)))
-    return passage, term, weight, np.add.reduceat(right[term] * weight[:, None], starts, axis=0)
+def chunks(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some 100,000 words at a time: their ids and the row of each; a longer row comes alone."""
+    held: list[int] = []
+    size = 0
+    for k, r in enumerate([*raw, None]):
+        if held and (r is None or size + len(r) > 4 * CHUNK):
+            yield np.frombuffer(b"".join(raw[i] for i in held), "<u4").astype(np.int64), np.repeat(held, [len(raw[i]) // 4 for i in held])
+            held, size = [], 0
+        if r:
+            held.append(k)
+            size += len(r)
+
+
+def places(row: np.ndarray) -> np.ndarray:
+    """Place of each word in its row, the rows' words standing together."""
+    new = np.flatnonzero(np.diff(row, prepend=-1))
+    return np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
 
 
-def gram_product(passages: DataFrame, idf: np.ndarray, right: np.ndarray, tasks: int) -> np.ndarray:
-    """A'A times ``right`` for the TF-IDF rows A of all passages; as many rows as terms reach the driver."""
-    shared = passages.sparkSession.sparkContext.broadcast((idf, right))
-    width = right.shape[1]
+def _sums(ids: np.ndarray, group: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of ``table``'s rows over the words of each group; groups are numbered in order, some may be empty."""
+    out = np.zeros((int(group[-1]) + 1 if len(group) else 0, table.shape[1]), table.dtype)
+    known = np.flatnonzero(ids)
+    for at in range(0, len(known), CHUNK):
+        some = known[at : at + CHUNK]
+        first = np.flatnonzero(np.diff(group[some], prepend=-1))
+        out[group[some[first]]] += np.add.reduceat(table[ids[some]], first, axis=0)
+    return out
+
+
+def gram_product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A'A times ``right`` for the TF-IDF rows A of all passages of all documents; as many rows as terms reach the driver."""
+    shared = encoded.sparkSession.sparkContext.broadcast((idf, (idf[:, None] * right).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, r = shared.value
-        total = np.zeros(r.shape)
+        weights, table = shared.value
+        total = np.zeros(table.shape)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                rows = b.column(0).slice(at, 1000).to_pylist()
-                passage, term, weight, product = _products(rows, weights, r)
-                for j in range(width):
-                    total[:, j] += np.bincount(term, weight * product[passage, j], len(weights))
+            for ids, row in chunks(b.column(0).to_pylist()):
+                place = places(row)
+                passage = np.cumsum((place % PASSAGE == 0)) - 1
+                product = _sums(ids, passage, table)
+                known = np.flatnonzero(ids)
+                for at in range(0, len(known), CHUNK):
+                    some = known[at : at + CHUNK]
+                    some = some[np.argsort(ids[some], kind="stable")]
+                    first = np.flatnonzero(np.diff(ids[some], prepend=-1))
+                    total[ids[some[first]]] += np.add.reduceat(product[passage[some]], first, axis=0)
+        total *= weights[:, None]
         blocks = range(0, len(total), TERM_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array([k // TERM_BLOCK for k in blocks], pa.int32()), pa.array([total[k : k + TERM_BLOCK].tobytes() for k in blocks], pa.binary())], names=["block", "part"])
 
@@ -244,30 +291,107 @@ def gram_product(passages: DataFrame, idf: np.ndarray, right: np.ndarray, tasks:
         some = sum(np.frombuffer(x.as_py(), np.float64) for x in table["part"])
         return pa.table({"block": table["block"][:1], "part": pa.array([np.ascontiguousarray(some).tobytes()], pa.binary())})
 
-    summed = passages.select("ids").coalesce(tasks).mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").toArrow().sort_by("block")
-    return np.concatenate([np.frombuffer(x, np.float64) for x in summed["part"].to_pylist()]).reshape(-1, width)
+    summed = encoded.select("ids").mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").toArrow().sort_by("block")
+    return np.concatenate([np.frombuffer(x, np.float64) for x in summed["part"].to_pylist()]).reshape(-1, right.shape[1])
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the passages' TF-IDF rows."""
-    n = max(1, passages.count())
-    tasks = max(1, -(-n // s.passages_per_task))
+def randomised_svd(encoded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
+    """The leading right singular vectors (terms x rank) of the TF-IDF rows of all passages."""
     width = min(len(idf), s.rank + s.oversample)
     rng = np.random.default_rng(s.seed)
-    q, _ = np.linalg.qr(gram_product(passages, idf, rng.normal(size=(len(idf), width)), tasks))
-    y = gram_product(passages, idf, q, tasks)
+    q, _ = np.linalg.qr(gram_product(encoded, idf, rng.normal(size=(len(idf), width))))
+    y = gram_product(encoded, idf, q)
     value, vector = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     return q @ vector[:, np.argsort(-value)[: s.rank]]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def latent_items(items: Items, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return unit(np.stack([(basis[ids] * idf[ids][:, None]).sum(0) for ids in items.ids]))
+
+
+def search(encoded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, s: Settings) -> DataFrame:
+    """doc_id, item (its place), ids of the windows that meet an item in the latent space.
+
+    Every document is cut into blocks of 16 words with a latent vector each.
+    A window, from every block on, is as many blocks as hold the item
+    wherever it starts; it is a candidate from ``s.cosine`` on, if the words
+    of so many blocks could hold ``s.likely`` of the item's idf mass at all. Candidates of an
+    item that overlap are one row, with half the item's length around it.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast((items.ids, idf, (idf[:, None] * basis).astype(np.float32), latent_items(items, idf, basis).astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item_ids, weights, table, latent = shared.value
+        length = np.array([len(x) for x in item_ids])
+        blocks = -(-length // BLOCK) + 1
+        step = max(1, CELLS // len(weights))
+        tables = []  # items of as many blocks each, and the weight of every term in them
+        for w in np.unique(blocks).tolist():
+            own = np.flatnonzero(blocks == w)
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                cells = np.zeros((len(some), len(weights)), np.float32)
+                for k, i in enumerate(some.tolist()):
+                    cells[k] = np.bincount(item_ids[i], weights[item_ids[i]], len(weights))
+                tables.append((w, some, cells, (s.likely * cells.sum(1) - 1e-3).astype(np.float32)))
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            out: list[tuple] = []
+            for ids, row in chunks(raw):
+                place = places(row)
+                block = np.cumsum(place % BLOCK == 0) - 1
+                first = np.flatnonzero(place % BLOCK == 0)
+                owner, of_row = row[first], place[first] // BLOCK
+                vectors = _sums(ids, block, table)
+                padded = np.zeros((len(first), BLOCK), np.int64)
+                padded[block, place % BLOCK] = ids
+                padded.sort(axis=1)
+                padded[:, 1:][padded[:, 1:] == padded[:, :-1]] = 0
+                total = np.concatenate((np.zeros((1, vectors.shape[1])), np.cumsum(vectors, 0, dtype=np.float64)))
+                last = np.searchsorted(owner, owner, side="right")  # blocks of a row end here
+                for w, some, cells, bound in tables:
+                    stop = np.minimum(np.arange(len(first)) + w, last)
+                    windows = unit(total[stop] - total[:-1]).astype(np.float32)
+                    for at in range(0, len(windows), 4096):
+                        near = windows[at : at + 4096] @ latent[some].T >= s.cosine
+                        asked = np.zeros((len(near) + w - 1, len(some)), bool)  # blocks of those windows, each weighed once
+                        for j in range(w):
+                            asked[j : j + len(near)] |= near
+                        asked[len(first) - at :] = False
+                        begin, k = np.nonzero(asked)
+                        mass = np.zeros(asked.shape, np.float32)
+                        for lo in range(0, len(begin), CHUNK):
+                            x, y = begin[lo : lo + CHUNK], k[lo : lo + CHUNK]
+                            mass[x, y] = cells[y[:, None], padded[at + x]].sum(1)
+                        start, item = np.nonzero(near & (sum(mass[j : j + len(near)] for j in range(w)) >= bound))
+                        start, item = start + at, some[item]
+                        order = np.lexsort((start, item, owner[start]))
+                        start, item = start[order], item[order]
+                        apart = np.ones(len(start), bool)
+                        apart[1:] = (owner[start[1:]] != owner[start[:-1]]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + w)
+                        ends = np.append(np.flatnonzero(apart)[1:], len(start)) - 1 if len(start) else []
+                        for p, q in zip(np.flatnonzero(apart).tolist(), list(ends), strict=True):
+                            d, n = int(owner[start[p]]), int(length[item[p]])
+                            lo, hi = int(of_row[start[p]]) * BLOCK - n // 2, int(of_row[stop[start[q]] - 1] + 1) * BLOCK + n // 2
+                            out.append((b.column(0)[d].as_py(), int(item[p]), raw[d][4 * max(0, lo) : 4 * hi]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "item", "ids"])
+
+    return encoded.mapInArrow(run, "doc_id long, item int, ids binary")
+
+
 def verify(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, s: Settings) -> DataFrame:
     """doc_id, item_id, cosine, matched, answer of passages that leak an item."""
-    latent = np.stack([(basis[ids] * idf[ids][:, None]).sum(0) for ids in items.ids])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    latent = latent_items(items, idf, basis)
     shared = passages.sparkSession.sparkContext.broadcast((items.item_id, items.ids, items.answers, idf, basis, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_id, item_ids, answers, weights, v, lat = shared.value
+        table = (weights[:, None] * v).astype(np.float32)
         sequences = [ids.tolist() for ids in item_ids]
         heavy = [float(weights[ids].sum()) for ids in item_ids]
         closing = [float(weights[ids[a:]].sum()) for ids, a in zip(item_ids, answers, strict=True)]
@@ -276,8 +400,11 @@ def verify(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
             for at in range(0, b.num_rows, 1000):
                 own = b.column(1).slice(at, 1000).to_numpy()
                 rows = b.column(2).slice(at, 1000).to_pylist()
-                product = _products(rows, weights, v)[3]
-                cosine = (product * lat[own]).sum(1) / np.maximum(np.linalg.norm(product, axis=1), 1e-12)
+                size = np.array([len(r) // 4 for r in rows])
+                product = np.zeros((len(rows), v.shape[1]))
+                some = _sums(np.frombuffer(b"".join(rows), "<u4").astype(np.int64), np.repeat(np.arange(len(rows)), size), table)
+                product[: len(some)] = some
+                cosine = (unit(product) * lat[own]).sum(1)
                 for p in range(len(rows)):
                     k, masks = int(own[p]), {}
                     ids = np.frombuffer(rows[p], "<u4").tolist()
@@ -300,9 +427,11 @@ def verify(passages: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per (document, item) that it leaks: doc_id, item_id, cosine, matched, answer.
 
-    Null or empty texts and items leak nothing; repeated rows of a doc_id are
-    one document here; other columns are not read; empty tables give no rows.
-    The benchmark is worked through in groups of GROUP items.
+    Null or empty texts and items leak nothing; texts of any length are read
+    whole; repeated rows of a doc_id are one document here; rows without an id
+    count under a null id; other columns are not read; empty tables give no
+    rows. The benchmark is worked through in groups of GROUP items, each a
+    pass over the corpus.
     """
     spark = docs.sparkSession
     groups = max(1, -(-benchmark.count() // GROUP))
@@ -314,8 +443,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
             continue
         encoded = materialise(encode(docs, items), "ids")
         idf = idf_of(encoded, len(items.vocabulary))
-        passages = materialise(screen(encoded, items, idf, s), "passages")
-        basis = randomised_svd(passages, idf, s) if passages.limit(1).count() else np.zeros((len(idf), 1))
+        basis = randomised_svd(encoded, idf, s) if encoded.limit(1).count() else np.zeros((len(idf), 1))
+        passages = materialise(screen(encoded, items, idf, s).unionAll(search(encoded, items, idf, basis, s)), "passages")
         part = verify(passages, items, idf, basis, s)
         found = part if found is None else found.unionAll(part)
     if found is None:
@@ -324,9 +453,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that leak no item. Documents without an id stay."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever those are called.
+
+    An id goes where any of its rows leaks an item; rows without an id stay.
+    """
     gone = materialise(leaks(docs, benchmark, s).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,6 +237,27 @@ def test_leaks_find_copies_and_paraphrases(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 == decontaminate.leaks(docs, bench.limit(0)).count()
 
 
+def test_latent_search_recalls_paraphrases(spark):
+    """Of items with a fifth of the words replaced, planted in running text, the cosine search alone finds nine tenths."""
+    rng = random.Random(21)
+    text = lambda n: [f"w{int(400 * rng.random() ** 2)}" for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(20, 60))) + ". " + " ".join(text(8))) for i in range(60)]
+    rows = [(1000 + i, " ".join(text(600))) for i in range(100)]
+    for i, item in items:
+        words = [rng.choice(text(1)) if rng.random() < 0.2 else w for w in item.split()]
+        rows.append((i, " ".join([*text(rng.randint(0, 200)), *words, *text(rng.randint(0, 200))])))
+    some = decontaminate.read_items(items)
+    encoded = decontaminate.materialise(decontaminate.encode(spark.createDataFrame(rows, "doc_id long, text string"), some), "ids")
+    s = decontaminate.Settings()
+    idf = decontaminate.idf_of(encoded, len(some.vocabulary))
+    basis = decontaminate.randomised_svd(encoded, idf, s)
+    found = {(r["doc_id"], some.item_id[r["item"]]) for r in decontaminate.search(encoded, some, idf, basis, s).collect()}
+    assert sum((i, i) in found for i, _ in items) >= 0.9 * len(items)
+    rows_of = [decontaminate.np.bincount(ids, minlength=len(idf)) * idf for _, t in rows for k in range(0, len(t.split()), 64) for ids in [[some.vocabulary.get(w, 0) for w in t.lower().split()[k : k + 64]]]]
+    value = np.linalg.svd(np.array(rows_of), compute_uv=False)[: s.rank]
+    assert np.linalg.norm(np.array(rows_of) @ basis) ** 2 > 0.95 * (value**2).sum()
+
+
 def test_leaks_find_copies_beside_repeated_words(spark):
     """Repeats of other items' words and lines turn a passage's vector away from the item it holds."""
     rng = random.Random(12)
