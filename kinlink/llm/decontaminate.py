@@ -28,8 +28,8 @@ WORD = re.compile(r"\w+")
 GROUP = 5000
 TERM_BLOCK = 512
 BLOCK, PASSAGE = 16, 64
-#: Words whose latent rows are in memory at once, and cells of the table that holds items' term weights.
-CHUNK, CELLS = 100_000, 1 << 24
+#: Words cut into blocks at once, words whose latent rows are summed at once (a few MB, so they stay in a core's cache), and cells of the table that holds items' term weights.
+CHUNK, CACHED, CELLS = 100_000, 8192, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,8 @@ class Settings:
     answer: float = 0.6
     share: float = 0.7
     rank: int = 64
-    oversample: int = 8
-    cosine: float = 0.45  #: of a window and an item, from which they are candidates
+    oversample: int = 32
+    cosine: float = 0.5  #: of a window and an item, from which they are candidates
     seed: int = 11
 
 
@@ -258,8 +258,8 @@ def _sums(ids: np.ndarray, group: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sums of ``table``'s rows over the words of each group; groups are numbered in order, some may be empty."""
     out = np.zeros((int(group[-1]) + 1 if len(group) else 0, table.shape[1]), table.dtype)
     known = np.flatnonzero(ids)
-    for at in range(0, len(known), CHUNK):
-        some = known[at : at + CHUNK]
+    for at in range(0, len(known), CACHED):
+        some = known[at : at + CACHED]
         first = np.flatnonzero(np.diff(group[some], prepend=-1))
         out[group[some[first]]] += np.add.reduceat(table[ids[some]], first, axis=0)
     return out
@@ -278,8 +278,8 @@ def gram_product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.n
                 passage = np.cumsum((place % PASSAGE == 0)) - 1
                 product = _sums(ids, passage, table)
                 known = np.flatnonzero(ids)
-                for at in range(0, len(known), CHUNK):
-                    some = known[at : at + CHUNK]
+                for at in range(0, len(known), CACHED):
+                    some = known[at : at + CACHED]
                     some = some[np.argsort(ids[some], kind="stable")]
                     first = np.flatnonzero(np.diff(ids[some], prepend=-1))
                     total[ids[some[first]]] += np.add.reduceat(product[passage[some]], first, axis=0)
@@ -296,13 +296,18 @@ def gram_product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.n
 
 
 def randomised_svd(encoded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the TF-IDF rows of all passages."""
+    """The leading right singular vectors (terms x rank) of the TF-IDF rows A of all passages.
+
+    One pass over the corpus: A'A is recovered from its product with random
+    columns by Nystrom's approximation, shifted a little for stability.
+    """
     width = min(len(idf), s.rank + s.oversample)
-    rng = np.random.default_rng(s.seed)
-    q, _ = np.linalg.qr(gram_product(encoded, idf, rng.normal(size=(len(idf), width))))
-    y = gram_product(encoded, idf, q)
-    value, vector = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-    return q @ vector[:, np.argsort(-value)[: s.rank]]
+    test, _ = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(len(idf), width)))
+    y = gram_product(encoded, idf, test)
+    shift = 1e-6 * np.linalg.norm(y) + 1e-12
+    core = np.linalg.cholesky((lambda c: (c + c.T) / 2)(test.T @ (y + shift * test)))
+    u, value, _ = np.linalg.svd(np.linalg.solve(core, (y + shift * test).T).T, full_matrices=False)
+    return u[:, np.argsort(-value)[: s.rank]]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -357,18 +362,19 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
                     stop = np.minimum(np.arange(len(first)) + w, last)
                     windows = unit(total[stop] - total[:-1]).astype(np.float32)
                     for at in range(0, len(windows), 4096):
-                        near = windows[at : at + 4096] @ latent[some].T >= s.cosine
-                        asked = np.zeros((len(near) + w - 1, len(some)), bool)  # blocks of those windows, each weighed once
+                        near = np.flatnonzero(windows[at : at + 4096] @ latent[some].T >= s.cosine)
+                        n = len(some)
+                        asked = np.zeros((min(4096, len(windows) - at) + w - 1) * n, bool)  # blocks of those windows, each weighed once
                         for j in range(w):
-                            asked[j : j + len(near)] |= near
-                        asked[len(first) - at :] = False
-                        begin, k = np.nonzero(asked)
-                        mass = np.zeros(asked.shape, np.float32)
-                        for lo in range(0, len(begin), CHUNK):
-                            x, y = begin[lo : lo + CHUNK], k[lo : lo + CHUNK]
-                            mass[x, y] = cells[y[:, None], padded[at + x]].sum(1)
-                        start, item = np.nonzero(near & (sum(mass[j : j + len(near)] for j in range(w)) >= bound))
-                        start, item = start + at, some[item]
+                            asked[near + j * n] = True
+                        asked[(len(first) - at) * n :] = False
+                        pairs = np.flatnonzero(asked)
+                        mass = np.zeros(len(asked), np.float32)
+                        for lo in range(0, len(pairs), CACHED):
+                            x = pairs[lo : lo + CACHED]
+                            mass[x] = cells.take((x % n * len(weights))[:, None] + padded[at + x // n]).sum(1)
+                        near = near[sum(mass[near + j * n] for j in range(w)) >= bound[near % n]]
+                        start, item = near // n + at, some[near % n]
                         order = np.lexsort((start, item, owner[start]))
                         start, item = start[order], item[order]
                         apart = np.ones(len(start), bool)
