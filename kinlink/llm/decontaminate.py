@@ -42,7 +42,7 @@ class Settings:
     answer: float = 0.6
     share: float = 0.7
     rank: int = 64
-    oversample: int = 32
+    oversample: int = 16
     cosine: float = 0.5  #: of a window and an item, from which they are candidates
     seed: int = 11
 
@@ -134,32 +134,6 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def idf_of(encoded: DataFrame, terms: int) -> np.ndarray:
-    """Idf of each id over 16-word passages of all documents; 0 for id 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(terms + 1, np.int64), 0
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                padded = np.zeros(-(-len(ids) // 16) * 16, np.int64)
-                padded[: len(ids)] = ids
-                rows = np.sort(padded.reshape(-1, 16), 1)
-                rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
-                df += np.bincount(rows.ravel(), minlength=terms + 1)
-                n += len(rows)
-        df[0] = n
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["id", "df"])
-
-    got = encoded.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toArrow()  # one row a term
-    df = np.zeros(terms + 1)
-    df[got["id"].to_numpy()] = got["df"].to_numpy()
-    idf = np.log((df[0] + 1) / (df + 1)) + 1
-    idf[0] = 0
-    return idf
-
-
 @dataclass(frozen=True)
 class Prefixes:
     """For each term the items whose prefix holds it: the heaviest terms with
@@ -265,49 +239,71 @@ def _sums(ids: np.ndarray, group: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_product(encoded: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'A times ``right`` for the TF-IDF rows A of all passages of all documents; as many rows as terms reach the driver."""
-    shared = encoded.sparkSession.sparkContext.broadcast((idf, (idf[:, None] * right).astype(np.float32)))
+def blocks_of(ids: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks of BLOCK words start, and each block's distinct ids (zeros for the rest)."""
+    first = place % BLOCK == 0
+    padded = np.zeros((int(first.sum()), BLOCK), np.int32)
+    padded[np.cumsum(first) - 1, place % BLOCK] = ids
+    padded.sort(axis=1)
+    padded[:, 1:][padded[:, 1:] == padded[:, :-1]] = 0
+    return np.flatnonzero(first), padded
+
+
+def gram_product(encoded: DataFrame, right: np.ndarray) -> np.ndarray:
+    """A'A times ``right`` for the term counts A of all passages of all documents, and beside
+    it the blocks that hold each term (all blocks, for id 0); as many rows as terms reach the driver."""
+    shared = encoded.sparkSession.sparkContext.broadcast(right.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, table = shared.value
-        total = np.zeros(table.shape)
+        table = shared.value
+        total = np.zeros((len(table), table.shape[1] + 1))
         for b in batches:
             for ids, row in chunks(b.column(0).to_pylist()):
                 place = places(row)
+                first, padded = blocks_of(ids, row, place)
+                held = np.bincount(padded.ravel(), minlength=len(table))
+                held[0] = len(first)
+                total[:, -1] += held
                 passage = np.cumsum((place % PASSAGE == 0)) - 1
                 product = _sums(ids, passage, table)
                 known = np.flatnonzero(ids)
                 for at in range(0, len(known), CACHED):
                     some = known[at : at + CACHED]
                     some = some[np.argsort(ids[some], kind="stable")]
-                    first = np.flatnonzero(np.diff(ids[some], prepend=-1))
-                    total[ids[some[first]]] += np.add.reduceat(product[passage[some]], first, axis=0)
-        total *= weights[:, None]
-        blocks = range(0, len(total), TERM_BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([k // TERM_BLOCK for k in blocks], pa.int32()), pa.array([total[k : k + TERM_BLOCK].tobytes() for k in blocks], pa.binary())], names=["block", "part"])
+                    begin = np.flatnonzero(np.diff(ids[some], prepend=-1))
+                    total[ids[some[begin]], :-1] += np.add.reduceat(product[passage[some]], begin, axis=0)
+        parts = range(0, len(total), TERM_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([k // TERM_BLOCK for k in parts], pa.int32()), pa.array([total[k : k + TERM_BLOCK].tobytes() for k in parts], pa.binary())], names=["block", "part"])
 
     def add(table: pa.Table) -> pa.Table:
         some = sum(np.frombuffer(x.as_py(), np.float64) for x in table["part"])
         return pa.table({"block": table["block"][:1], "part": pa.array([np.ascontiguousarray(some).tobytes()], pa.binary())})
 
     summed = encoded.select("ids").mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").toArrow().sort_by("block")
-    return np.concatenate([np.frombuffer(x, np.float64) for x in summed["part"].to_pylist()]).reshape(-1, right.shape[1])
+    return np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in summed["part"].to_pylist())]).reshape(-1, right.shape[1] + 1)
 
 
-def randomised_svd(encoded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
-    """The leading right singular vectors (terms x rank) of the TF-IDF rows A of all passages.
+def latent_space(encoded: DataFrame, terms: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Idf of each id over blocks of all documents (0 for id 0), and the leading right singular
+    vectors (terms x rank) of the TF-IDF rows A of all passages.
 
     One pass over the corpus: A'A is recovered from its product with random
     columns by Nystrom's approximation, shifted a little for stability.
     """
-    width = min(len(idf), s.rank + s.oversample)
-    test, _ = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(len(idf), width)))
-    y = gram_product(encoded, idf, test)
-    shift = 1e-6 * np.linalg.norm(y) + 1e-12
-    core = np.linalg.cholesky((lambda c: (c + c.T) / 2)(test.T @ (y + shift * test)))
-    u, value, _ = np.linalg.svd(np.linalg.solve(core, (y + shift * test).T).T, full_matrices=False)
-    return u[:, np.argsort(-value)[: s.rank]]
+    width = min(terms + 1, s.rank + s.oversample)
+    columns, _ = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(terms + 1, width)))
+    got = gram_product(encoded, columns)
+    if not len(got) or not got[0, -1]:  # no document, or none with a word
+        return np.concatenate(([0.0], np.ones(terms))), np.zeros((terms + 1, 1))
+    idf = np.log((got[0, -1] + 1) / (got[:, -1] + 1)) + 1
+    idf[0] = 0
+    test = columns / np.where(idf > 0, idf, np.inf)[:, None]
+    y = idf[:, None] * got[:, :-1]
+    y += (1e-6 * np.linalg.norm(y) + 1e-12) * test
+    core = test.T @ y
+    core = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.trace(core) * np.eye(width))
+    u, value, _ = np.linalg.svd(np.linalg.solve(core, y.T).T, full_matrices=False)
+    return idf, u[:, np.argsort(-value)[: s.rank]]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -334,7 +330,7 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
         length = np.array([len(x) for x in item_ids])
         blocks = -(-length // BLOCK) + 1
         step = max(1, CELLS // len(weights))
-        tables = []  # items of as many blocks each, and the weight of every term in them
+        ones, tables = np.ones(BLOCK, np.float32), []  # items of as many blocks each, and the weight of every term in them
         for w in np.unique(blocks).tolist():
             own = np.flatnonzero(blocks == w)
             for at in range(0, len(own), step):
@@ -348,31 +344,27 @@ def search(encoded: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray,
             out: list[tuple] = []
             for ids, row in chunks(raw):
                 place = places(row)
-                block = np.cumsum(place % BLOCK == 0) - 1
-                first = np.flatnonzero(place % BLOCK == 0)
+                first, padded = blocks_of(ids, row, place)
                 owner, of_row = row[first], place[first] // BLOCK
-                vectors = _sums(ids, block, table)
-                padded = np.zeros((len(first), BLOCK), np.int64)
-                padded[block, place % BLOCK] = ids
-                padded.sort(axis=1)
-                padded[:, 1:][padded[:, 1:] == padded[:, :-1]] = 0
+                vectors = _sums(ids, np.cumsum(place % BLOCK == 0) - 1, table)
                 total = np.concatenate((np.zeros((1, vectors.shape[1])), np.cumsum(vectors, 0, dtype=np.float64)))
                 last = np.searchsorted(owner, owner, side="right")  # blocks of a row end here
                 for w, some, cells, bound in tables:
                     stop = np.minimum(np.arange(len(first)) + w, last)
                     windows = unit(total[stop] - total[:-1]).astype(np.float32)
                     for at in range(0, len(windows), 4096):
-                        near = np.flatnonzero(windows[at : at + 4096] @ latent[some].T >= s.cosine)
+                        near = np.flatnonzero(windows[at : at + 4096] @ latent[some].T >= s.cosine).astype(np.int32)
                         n = len(some)
                         asked = np.zeros((min(4096, len(windows) - at) + w - 1) * n, bool)  # blocks of those windows, each weighed once
                         for j in range(w):
                             asked[near + j * n] = True
                         asked[(len(first) - at) * n :] = False
-                        pairs = np.flatnonzero(asked)
+                        pairs = np.flatnonzero(asked).astype(np.int32)
                         mass = np.zeros(len(asked), np.float32)
                         for lo in range(0, len(pairs), CACHED):
                             x = pairs[lo : lo + CACHED]
-                            mass[x] = cells.take((x % n * len(weights))[:, None] + padded[at + x // n]).sum(1)
+                            y = x // n
+                            mass[x] = cells.take(((x - y * n) * len(weights))[:, None] + padded[at + y]) @ ones
                         near = near[sum(mass[near + j * n] for j in range(w)) >= bound[near % n]]
                         start, item = near // n + at, some[near % n]
                         order = np.lexsort((start, item, owner[start]))
@@ -448,8 +440,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         if not items.item_id:
             continue
         encoded = materialise(encode(docs, items), "ids")
-        idf = idf_of(encoded, len(items.vocabulary))
-        basis = randomised_svd(encoded, idf, s) if encoded.limit(1).count() else np.zeros((len(idf), 1))
+        idf, basis = latent_space(encoded, len(items.vocabulary), s)
         passages = materialise(screen(encoded, items, idf, s).unionAll(search(encoded, items, idf, basis, s)), "passages")
         part = verify(passages, items, idf, basis, s)
         found = part if found is None else found.unionAll(part)

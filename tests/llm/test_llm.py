@@ -249,11 +249,10 @@ def test_latent_search_recalls_paraphrases(spark):
     some = decontaminate.read_items(items)
     encoded = decontaminate.materialise(decontaminate.encode(spark.createDataFrame(rows, "doc_id long, text string"), some), "ids")
     s = decontaminate.Settings()
-    idf = decontaminate.idf_of(encoded, len(some.vocabulary))
-    basis = decontaminate.randomised_svd(encoded, idf, s)
+    idf, basis = decontaminate.latent_space(encoded, len(some.vocabulary), s)
     found = {(r["doc_id"], some.item_id[r["item"]]) for r in decontaminate.search(encoded, some, idf, basis, s).collect()}
     assert sum((i, i) in found for i, _ in items) >= 0.9 * len(items)
-    rows_of = [decontaminate.np.bincount(ids, minlength=len(idf)) * idf for _, t in rows for k in range(0, len(t.split()), 64) for ids in [[some.vocabulary.get(w, 0) for w in t.lower().split()[k : k + 64]]]]
+    rows_of = [decontaminate.np.bincount(ids, minlength=len(idf)) * idf for _, t in rows for k in range(0, len(t.split()), 64) for ids in [[some.vocabulary.get(w, 0) for w in decontaminate.WORD.findall(t)[k : k + 64]]]]
     value = np.linalg.svd(np.array(rows_of), compute_uv=False)[: s.rank]
 
     assert np.linalg.norm(np.array(rows_of) @ basis) ** 2 > 0.85 * (value**2).sum()
