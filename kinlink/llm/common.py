@@ -6,14 +6,13 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: Entries after which a per-worker word cache is emptied, so its memory stays bounded.
 CACHE_LIMIT = 1_000_000
@@ -122,9 +121,21 @@ def named(columns: Iterable[str]) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
-def ddl(schema: StructType, columns: Iterable[str]) -> str:
-    """The fields of some columns as a schema string."""
-    return ", ".join(f"`{c.replace('`', '``')}` {schema[c].dataType.simpleString()}" for c in columns)
+def with_number(docs: DataFrame, keep: list[str], name: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], max_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``keep`` and, as ``name``, a number for each text; ``make`` gives a task its function of texts.
+
+    Columns go by place on the way, so they may have any name; ``name`` must differ from them.
+    """
+    wanted = list(dict.fromkeys([*keep, "text"]))
+    inner, at = [f"c{k}" for k in range(len(wanted))], wanted.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for part in parts(batches, inner[at], max_bytes):
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(compute(part.column(at)), pa.float64())], names=[*inner[: len(keep)], "made"])
+
+    fields = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "made double"])
+    return docs.select(*named(wanted)).toDF(*inner).mapInArrow(run, fields).toDF(*keep, name)
 
 
 def hash64(text: str) -> int:

@@ -28,6 +28,8 @@ from kinlink.llm.common import Lexicon, gather, hash64, load, materialise, named
 from kinlink.llm.components import components
 
 WORD = re.compile(r"\w+")
+#: Shingles that are hashed at once.
+CACHED = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -115,27 +117,33 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
         hashes = s.trees * s.deepest
         times = rng.integers(0, 2**31, hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         plus = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)
-        for part in parts(batches, "text", 4 << 20):
-            sets = shingle(part.column(2))
-            n = np.array([len(x) for x in sets])
+
+        def sign(part: pa.RecordBatch, sets: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
             flat = np.concatenate(sets)
             starts = np.cumsum(n) - n
             x = (flat >> np.uint64(32)).astype(np.uint32)  # well mixed already, so a linear step a hash will do
-            y, low = np.empty_like(x), np.empty((len(sets), hashes), np.uint32)
+            y, low = np.empty_like(x), np.empty((hashes, len(sets)), np.uint32)
             for k in range(hashes):
                 np.multiply(x, times[k], out=y)
                 y += plus[k]
-                low[:, k] = np.minimum.reduceat(y, starts)
-            labels = (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint64).reshape(len(sets), s.deepest, s.trees)  # 16 mixed bits of a least value tell it apart
+                np.minimum.reduceat(y, starts, out=low[k])
+            labels = (low * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint64).reshape(s.deepest, s.trees, len(sets))  # 16 mixed bits of a least value tell it apart
             front, back = (np.zeros((len(sets), s.trees), np.uint64) for _ in range(2))
             for d in range(s.deepest):
                 to = front if d < depth else back
                 to *= np.uint64(65536 if d < 4 or d >= depth else 0x9E3779B97F4A7C15)  # up to four values stand side by side, more are mixed
-                to += labels[:, d]
+                to += labels[d].T
             whole = np.add.reduceat(flat * np.uint64(0x94D049BB133111EB) ^ (flat >> np.uint64(31)), starts)
             mixed = np.bitwise_xor.reduceat(flat * np.uint64(0xD6E8FEB86659FD93), starts)
             names = [f"{a:x}-{b:x}-{c}" for a, b, c in zip(whole.tolist(), mixed.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(n, pa.int32()), *(pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), s.trees).cast(pa.list_(pa.int64())) for x in (front, back))], names=["doc_id", "_text", "_set", "_n", "_front", "_back"])
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(n, pa.int32()), *(pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), s.trees).cast(pa.list_(pa.int64())) for x in (front, back))], names=["doc_id", "_text", "_set", "_n", "_front", "_back"])
+
+        for part in parts(batches, "text", 8 << 20):
+            sets = shingle(part.column(2))
+            n = np.array([len(x) for x in sets])
+            group = np.cumsum(n) // CACHED  # some sets at a time, so that their hashes stay in a core's cache
+            for lo, hi in zip(first := np.flatnonzero(np.diff(group, prepend=-1)).tolist(), [*first[1:], len(sets)], strict=True):
+                yield sign(part.slice(lo, hi - lo), sets[lo:hi], n[lo:hi])
 
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
     return texts.mapInArrow(run, "doc_id long, _text long, _set string, _n int, _front array<long>, _back array<long>")

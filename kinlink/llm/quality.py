@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import ddl, fresh, load, materialise, named, parts, text_column
+from kinlink.llm.common import fresh, load, materialise, named, parts, text_column, with_number
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -109,14 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 
 def evidence(docs: DataFrame, classifier: Classifier, keep: list[str], name: str = P) -> DataFrame:
     """The columns ``keep`` with each text's probability of being good as ``name``, which none of them may be called."""
-    wanted = list(dict.fromkeys([*keep, "text"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text"):
-            p = classifier(np.array([statistics(t) for t in text_column(part, "text")]))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(p, pa.float64())], names=[*keep, name])
-
-    return docs.select(*named(wanted)).mapInArrow(run, f"{ddl(docs.schema, keep)}, `{name}` double")
+    rows = lambda texts: classifier(np.array([statistics(t or "") for t in texts.to_pylist()]))
+    return with_number(docs, keep, name, lambda: rows, 16 << 20)
 
 
 def _strength(groups: DataFrame, above: str) -> float:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import Lexicon, ddl, fresh, gather, load, named, parts, split_words
+from kinlink.llm.common import Lexicon, fresh, gather, load, named, parts, split_words, with_number
 
 EDGES = "\"'`.,;:!?()[]{}<>|/\\+=~^-_*#$%&@«»“”„…"
 
@@ -264,16 +264,13 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
     ``keep`` (``fresh`` finds such a one). One scan, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift, model.settings))
-    wanted = list(dict.fromkeys([*keep, "text"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         weights, bias, scale, shift, s = shared.value
         scorer = Scorer(weights, bias, s)
-        for part in parts(batches, "text", 4 << 20):
-            z = np.clip(scale * scorer(part.column(wanted.index("text"))) + shift, -500, 500)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=[*keep, name])
+        return lambda texts: 1 / (1 + np.exp(-np.clip(scale * scorer(texts) + shift, -500, 500)))
 
-    return docs.select(*named(wanted)).mapInArrow(run, f"{ddl(docs.schema, keep)}, `{name}` double")
+    return with_number(docs, keep, name, make)
 
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
