@@ -121,7 +121,7 @@ def named(columns: Iterable[str]) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
 
 
-def with_number(docs: DataFrame, keep: list[str], name: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], max_bytes: int = 8 << 20) -> DataFrame:
+def with_number(docs: DataFrame, keep: list[str], name: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], max_bytes: int = 4 << 20) -> DataFrame:
     """The columns ``keep`` and, as ``name``, a number for each text; ``make`` gives a task its function of texts.
 
     Columns go by place on the way, so they may have any name; ``name`` must differ from them.

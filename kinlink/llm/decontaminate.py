@@ -98,7 +98,7 @@ def align(a: list[int], masks: dict[int, int], n: int) -> list[int]:
 class Encoder:
     """Vocabulary ids of texts' words; those of a token between white space are kept in flat arrays of at most ``room`` bytes."""
 
-    def __init__(self, vocabulary: dict[str, int], room: int = 32 << 20):
+    def __init__(self, vocabulary: dict[str, int], room: int = 16 << 20):
         self.vocabulary, self.room = vocabulary, room
         self.forget()
 
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for part in parts(batches, "text", 8 << 20):
+        for part in parts(batches, "text", 4 << 20):
             flat, n = encoder(part.column(1))
             ends = pa.array(np.concatenate(([0], np.cumsum(4 * n))), pa.int32()).buffers()[1]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(flat)])], names=["doc_id", "ids"])

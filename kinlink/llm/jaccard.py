@@ -63,7 +63,7 @@ class Shingler:
     space are kept in flat arrays of at most ``room`` bytes.
     """
 
-    def __init__(self, words: int, room: int = 32 << 20):
+    def __init__(self, words: int, room: int = 16 << 20):
         self.n, self.room = words, room
         self.forget()
 

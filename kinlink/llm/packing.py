@@ -46,7 +46,7 @@ class WordEncoder:
     made: dict[str, WordEncoder] = {}
     POINTS = [*range(0x20, 0x7F), 0x0A, 0x0D, 0x09, *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
 
-    def __init__(self, path: str, room: int = 32 << 20):
+    def __init__(self, path: str, room: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already take all cores
         from tokenizers import Tokenizer
 
@@ -127,7 +127,7 @@ def encode_pieces(docs: DataFrame, model_file: str, capacity: int = CAPACITY, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder.of(model_file)
-        for part in parts(batches, "text", 8 << 20):
+        for part in parts(batches, "text", 4 << 20):
             ids, length = encode(part.column(1))
             count = length // capacity + 1  # with the end id no document is empty
             row = np.repeat(np.arange(len(length)), count)

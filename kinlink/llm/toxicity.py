@@ -165,7 +165,7 @@ class Scorer:
     Word weights are whole multiples of 2**-30, so equal texts get equal sums wherever they stand.
     """
 
-    def __init__(self, weights: np.ndarray, bias: float, s: Settings, room: int = 32 << 20):
+    def __init__(self, weights: np.ndarray, bias: float, s: Settings, room: int = 16 << 20):
         self.weights, self.bias, self.s, self.room = weights, bias, s, room
         self.lexicon, self.known = Lexicon(), np.zeros(0, np.int64)
 
