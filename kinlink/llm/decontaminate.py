@@ -41,7 +41,7 @@ class Settings:
     sure: float = 0.6
     answer: float = 0.6
     share: float = 0.7
-    rank: int = 64
+    rank: int = 48
     oversample: int = 16
     cosine: float = 0.5  #: of a window and an item, from which they are candidates
     seed: int = 11
