@@ -30,6 +30,10 @@ IN_STATES = {
     "kerala": "kl", "keralam": "kl", "madhya pradesh": "mp", "bihar": "br", "andhra pradesh": "ap", "punjab": "pb", "odisha": "od", "orissa": "od", "goa": "ga", "assam": "as", "jharkhand": "jh",
     "chhattisgarh": "cg", "uttarakhand": "uk", "himachal pradesh": "hp", "jammu and kashmir": "jk", "chandigarh": "ch", "puducherry": "py",
 }
+NATIVE_STATES = {
+    "महाराष्ट्र": "maharashtra", "दिल्ली": "delhi", "उत्तर प्रदेश": "uttar pradesh", "ಕರ್ನಾಟಕ": "karnataka", "தமிழ்நாடு": "tamil nadu", "পশ্চিমবঙ্গ": "west bengal", "ગુજરાત": "gujarat", "తెలంగాణ": "telangana",
+    "हरियाणा": "haryana", "राजस्थान": "rajasthan", "കേരളം": "kerala", "बिहार": "bihar", "मध्य प्रदेश": "madhya pradesh", "ఆంధ్రప్రదేశ్": "andhra pradesh", "ਪੰਜਾਬ": "punjab", "ଓଡ଼ିଶା": "odisha",
+}
 FALLBACK_FIXES = {"praivet": "private", "praibhet": "private", "piraivet": "private", "praivrr": "private", "pra": "private", "limitet": "limited", "limirrd": "limited", "limtid": "limited", "li": "limited", "elelpi": "llp"}
 NULL_PLACEHOLDERS = r"(?i)(?:\bnull\b|\bn/a\b)"
 ALIAS = r"\b(?:d\s*b\s*a|dba|aka|fka|t\s+a|doing business as|formerly)\b"
@@ -38,6 +42,10 @@ TOP_LEVEL = r"\.(?:co\.in|co\.uk|com\.au|com|net|org|in|fr|us|[a-z]{2,12})$"
 HOUSE = r"^\s*(?:(?:plot|house|door|h)\s*[.\s]*(?:no\.?\s*)?|no\.?\s*|n[°º]\s*|#\s*)?([a-z]?-?\d+[a-z]?(?:[/-]\d+[a-z]?)*)(?:\s+(bis|ter)\b)?(?=\s|[,.;:]|$)"
 UNIT = r"\b(?:suite|ste|unit|apt|apartment|flat|shop)\s*(?:no[.\s]*)?([a-z0-9][a-z0-9/-]*)"
 FLOOR = r"\b(\d+)(?:st|nd|rd|th)?\s*(?:floor|fl)\b|\b(?:floor|fl)\s*(\d+)"
+JOINERS = "\u200b\u200c\u200d\u2060\ufeff"
+TOKEN = r"[^\s,;:()\[\]{}|<>\"]+"
+NUMBER_MARK = r"^(?:n°|nº|no\.?)(\d)"
+INDIC = r"[\x{0900}-\x{0DFF}]"
 # End of the fixed values.
 
 
@@ -52,7 +60,7 @@ def fold(text: pd.Series) -> pd.Series:
 
     def one(t: str | None) -> str:
         t = unicodedata.normalize("NFKC", t or "")
-        t = "".join(ch for ch in t if ch not in "​‌‍⁠﻿")
+        t = "".join(ch for ch in t if ch not in JOINERS)
         t = unicodedata.normalize("NFKD", t)
         return unicodedata.normalize("NFC", "".join(ch for ch in t if not "̀" <= ch <= "ͯ"))
 
@@ -76,13 +84,22 @@ def tokens(c: Column) -> Column:
 
 
 def map_words(c: Column, mapping: dict[str, str]) -> Column:
-    """Whole-word replacement: phrases longest first by padded replacement, then single words by lookup."""
-    for phrase in sorted((k for k in mapping if " " in k), key=lambda k: (-len(k), k)):
-        c = F.trim(F.replace(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(f" {phrase} "), F.lit(f" {mapping[phrase]} ")))
-    single = F.create_map(*[F.lit(x) for k, v in sorted(mapping.items()) if " " not in k for x in (k, v)]) if any(" " not in k for k in mapping) else None
-    if single is None:
+    """Whole-word replacement, phrases longest first, then single words by lookup.
+
+    Spaces are doubled while phrases are replaced, so two that stand side by
+    side share none and both are met.
+    """
+    phrases = sorted((k for k in mapping if " " in k), key=lambda k: (-len(k), k))
+    if phrases:
+        c = F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" "))
+        for phrase in phrases:
+            c = F.replace(c, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {mapping[phrase]} "))
+        c = squeeze(c)
+    single = [F.lit(x) for k, v in mapping.items() if " " not in k for x in (k, v)]
+    if not single:
         return c
-    return F.array_join(F.transform(F.split(c, " "), lambda t: F.coalesce(F.try_element_at(single, t), t)), " ")
+    table = F.create_map(*single)
+    return F.array_join(F.transform(F.split(c, " "), lambda t: F.coalesce(F.try_element_at(table, t), t)), " ")
 
 
 def strip_legal(c: Column) -> Column:
@@ -104,14 +121,10 @@ def no_placeholders(c: Column) -> Column:
 
 def number_tokens(c: Column) -> Column:
     """Sorted distinct tokens with a digit: edges stripped, number marks and leading zeros gone."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[^\s,;:()\[\]{}|<>\"]+"), F.lit(0))
-
-    def one(t: Column) -> Column:
-        t = F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        t = F.regexp_replace(t, r"^(?:n°|nº|no\.?)(\d)", "$1")
-        return F.regexp_replace(t, r"\b0+(\d)", "$1")
-
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, one), lambda t: t.rlike(r"\d"))))
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), NUMBER_MARK, "$1")
+    found = F.regexp_extract_all(_raw(c), F.lit(TOKEN), F.lit(0))
+    kept = F.transform(F.filter(found, lambda t: t.rlike(r"\d")), lambda t: F.regexp_replace(bare(t), r"\b0+(\d)", "$1"))
+    return F.array_sort(F.array_distinct(F.filter(kept, lambda t: t.rlike(r"\d"))))
 
 
 def nonlatin(c: Column) -> Column:
@@ -138,6 +151,18 @@ def _raw(c: Column) -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
 
 
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC alone, so that full-width and raised digits are digits."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t or ""))
+
+
+def number_views(address: Column) -> dict[str, Column]:
+    """House, unit, floor and whether a house was read, from the NFKC form of a raw address."""
+    c = compatible(address)
+    return {"house": house(c), "unit": unit(c), "floor": floor_number(c), "house_parsed": (house(c) != "").cast("int")}
+
+
 def house(c: Column) -> Column:
     """House number at the start of an address, bis or ter appended."""
     return F.concat(F.regexp_extract(_raw(c), HOUSE, 1), F.regexp_extract(_raw(c), HOUSE, 2))
@@ -154,13 +179,48 @@ def floor_number(c: Column) -> Column:
     return F.concat(F.regexp_extract(_raw(c), FLOOR, 1), F.regexp_extract(_raw(c), FLOOR, 2))
 
 
-def normalise(records: DataFrame) -> DataFrame:
-    """The whole record normaliser: entity_id, source, country and the derived texts."""
-    name = basic_clean(F.col("business_name"))
-    address = basic_clean(no_placeholders(F.coalesce("business_address", F.lit(""))))
-    out = records.withColumns({"name_cons": name, "addr_nums": number_tokens(F.col("business_address")), "name_nonlatin": nonlatin(F.col("business_name")), "addr_norm": states_and_streets(address)})
-    out = out.withColumns({"name_red": strip_legal(F.col("name_cons")), "addr_missing": F.col("addr_norm") == ""})
-    return out.withColumn("retrieval_text", squeeze(F.concat_ws(" ", "name_red", "addr_norm"))).drop("business_name", "business_address")
+def native_states() -> dict[str, str]:
+    """The native state names as cleaned text holds them."""
+    return {unicodedata.normalize("NFC", "".join(ch for ch in k if ch not in JOINERS)): v for k, v in NATIVE_STATES.items()}
+
+
+def to_latin(texts: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """``column`` with every token in an Indic script replaced by its word in ``dictionary`` (token, latin), else by generic romanisation.
+
+    Only distinct Indic tokens are romanised, and only rows that hold one are
+    shuffled; tokens that leave nothing are dropped.
+    """
+    plain = texts.where(~F.coalesce(F.col(column).rlike(INDIC), F.lit(False)))
+    rows = texts.where(F.col(column).rlike(INDIC)).withColumn("_row", F.struct(*texts.columns))
+    words = rows.select("_row", F.posexplode(F.split(column, " ")).alias("_at", "token"))
+    native = words.where(F.col("token").rlike(INDIC)).select("token").distinct()
+    known = dictionary.select("token", "latin") if dictionary is not None else native.select("token", F.lit(None).cast("string").alias("latin")).limit(0)
+    table = native.join(known, "token", "left").select("token", F.coalesce(F.nullif("latin", F.lit("")), romanise(F.col("token"))).alias("_new"))
+    joined = words.join(table, "token", "left").withColumn("_new", F.coalesce("_new", "token")).where("_new <> ''")
+    back = joined.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_new"))), lambda x: x._new), " ").alias("_text"))
+    found = rows.select("_row").distinct().join(back, "_row", "left").select(*[(F.coalesce("_text", F.lit("")) if c == column else F.col(f"_row.{c}")).alias(c) for c in texts.columns])
+    return plain.unionByName(found)
+
+
+def coverage(texts: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """One row: Indic token occurrences, and the share of them that ``dictionary`` knows."""
+    words = texts.select(F.explode(F.split(column, " ")).alias("token")).where(F.col("token").rlike(INDIC)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = words.join(dictionary.select("token", F.lit(1).alias("_k")).distinct(), "token", "left")
+    return known.agg(F.sum("n").alias("occurrences"), F.try_divide(F.sum(F.when(F.col("_k") == 1, F.col("n")).otherwise(0)), F.sum("n")).alias("known_share"))
+
+
+def normalise(records: DataFrame, dictionary: DataFrame | None = None, romanised: bool = False) -> DataFrame:
+    """The whole record normaliser: entity_id, source, country and the derived texts.
+
+    Indic words become Latin where a ``dictionary`` is given or ``romanised`` is set.
+    """
+    raw = no_placeholders(F.coalesce("business_address", F.lit("")))
+    out = records.withColumns({"name_cons": basic_clean(F.col("business_name")), "_clean": map_words(basic_clean(raw), native_states()), "addr_nums": number_tokens(raw), "name_nonlatin": nonlatin(F.col("business_name"))})
+    out = out.drop("business_name", "business_address")
+    if dictionary is not None or romanised:
+        out = to_latin(to_latin(out, "name_cons", dictionary), "_clean", dictionary)
+    out = out.withColumns({"name_red": strip_legal(F.col("name_cons")), "addr_norm": states_and_streets(F.col("_clean"))}).drop("_clean")
+    return out.withColumns({"addr_missing": F.col("addr_norm") == "", "retrieval_text": squeeze(F.concat_ws(" ", "name_red", "addr_norm"))})
 
 
 def _roman(token: str) -> str:
