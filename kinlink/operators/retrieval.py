@@ -56,6 +56,20 @@ def similarity_pairs(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return q.join(t, ["block", "term"]).groupBy("block", "s1_id", "target_id").agg(F.round(F.sum(F.col("wq") * F.col("wt")), PLACES).alias("score"))
 
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, targets: DataFrame, terms, min_df: int = 2, max_terms: int = 300_000) -> DataFrame:
+    """block, s1_id, target_id, score of given pairs: their cosine, 0 where they share no term.
+
+    Only postings of the pairs' own owners and targets take part.
+    """
+    counts = term_counts(targets, terms(F.col("text")))
+    vocab = vocabulary(targets, counts, min_df, max_terms)
+    q = weigh(term_counts(queries, terms(F.col("text"))), vocab).select("block", F.col("id").alias("s1_id"), "term", F.col("weight").alias("wq"))
+    t = weigh(counts, vocab).select("block", F.col("id").alias("target_id"), "term", F.col("weight").alias("wt"))
+    met = pairs.select("block", "s1_id", "target_id").join(q, ["block", "s1_id"]).join(t, ["block", "target_id", "term"])
+    sums = met.groupBy("block", "s1_id", "target_id").agg(F.round(F.sum(F.col("wq") * F.col("wt")), PLACES).alias("score"))
+    return pairs.select("block", "s1_id", "target_id").join(sums, ["block", "s1_id", "target_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def rank(pairs: DataFrame, by: list[str], score: str = "score", tie: str = "target_id") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie)))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Cumulative bounds of the roles.
 ROLE_BOUNDS = (("fit", 0.60), ("tune", 0.70), ("calibrate", 0.80), ("audit", 1.00))
@@ -14,6 +18,23 @@ def stable_unit(c: Column, salt: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), c), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def blake_unit(c: Column, salt: str) -> Column:
+    """A number in [0, 1) from the 64-bit BLAKE2b of salt|id, big-endian: the reference's own units. Spark has no such function, so an Arrow one."""
+
+    @F.pandas_udf(DoubleType())
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: int.from_bytes(hashlib.blake2b(f"{salt}|{i}".encode(), digest_size=8).digest(), "big") / 2.0**64)
+
+    return run(c)
+
+
+def unowned_weights(sample: DataFrame, truth: DataFrame, times: float = 2.0) -> DataFrame:
+    """Weights of negatives whose target has no owner, ``times`` over, and the flag ``unowned``. Labels only, never a feature."""
+    owned = truth.select("target_id").distinct().withColumn("_owned", F.lit(1))
+    flagged = sample.join(owned, "target_id", "left").withColumn("unowned", (F.col("label") == 0) & F.col("_owned").isNull()).drop("_owned")
+    return flagged.withColumn("weight", F.when(F.col("unowned"), F.col("weight") * times).otherwise(F.col("weight")))
+
+
 def role(unit: Column) -> Column:
     chosen = F.lit(ROLE_BOUNDS[-1][0])
     for name, bound in reversed(ROLE_BOUNDS[:-1]):

@@ -243,8 +243,11 @@ per AS (SELECT s1_id, country, g, k, t, CASE WHEN g = 0 AND k = 0 THEN 1.0 WHEN
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    return o.join(li, o.o_orderkey == li.l_orderkey).groupBy(F.concat(F.lit("S1-"), "o_custkey").alias("s1_id"), F.concat(F.lit("S2-"), "l_partkey").alias("target_id")).agg(
-        F.when(F.min("l_returnflag") == "A", "S3").otherwise("S2").alias("source"), F.round(F.avg("l_discount") * 10, 6).alias("p"), F.round(F.avg("l_tax") * 10, 6).alias("score"), F.max("l_quantity").alias("q"))
+    rows = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_custkey", "l_partkey").agg(F.min("l_returnflag").alias("flag"), F.avg("l_discount").alias("p"), F.avg("l_tax").alias("score"), F.max("l_quantity").alias("q"))
+    return rows.select(
+        F.concat(F.lit("S1-"), "o_custkey").alias("s1_id"), F.concat(F.lit("S2-"), "l_partkey").alias("target_id"), F.when(F.col("flag") == "A", "S3").otherwise("S2").alias("source"),
+        F.round(F.col("p") * 10, 6).alias("p"), F.round(F.col("score") * 10, 6).alias("score"), "q",
+    )
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
