@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from kinlink.functions import text as tx
 from kinlink.operators import decisions as dec
 from kinlink.operators import features as fe
+from kinlink.operators import models as mod
 from kinlink.operators import relations as rel
 from kinlink.operators import reports as rep
 from kinlink.operators import retrieval as ret
 from kinlink.operators import sampling as smp
-from kinlink.plans.catalogue import CAND, FINAL, OWNERS, QUERIES, QUERIED, SQL, TARGETS, UNIT, VOCAB, C, candidates, documents, final, owners, query, roster, table, targets, truth
+from kinlink.plans.catalogue import CAND, FINAL, OWNERS, QUERIES, QUERIED, SQL, TARGETS, UNIT, VOCAB, C, T, candidates, documents, final, owners, query, roster, table, targets, truth
 from kinlink.plans.second_stage import F_SQL, FINE, HITS, PROOF, evidence
 
 __all__ = ["QUERIES", "SQL"]  # the catalogue's, with the queries below
@@ -247,6 +248,38 @@ def r11_given_pair_cosine(spark, d):
     return ret.pair_scores(ask, q, t, ret.words).select(*KEYS, F.col("score").alias("cosine"))
 
 
+GRAMS = "flatten([list_transform(range(1, length(text) - k + 2), lambda i: substring(text, i, k)) for k in [2, 3, 4]])"
+NAMED = """tgt AS (SELECT p_type AS block, 'S2-' || p_partkey AS id, lower(p_name) AS text FROM part {where}), own AS (SELECT p_type AS block, 'S1-' || p_partkey AS id, lower(p_name) AS text FROM part)"""
+
+
+def name_channel(spark: SparkSession, d: str, missing: bool) -> DataFrame:
+    """Character n-grams of names alone: every part as an owner, asked of all targets of its block."""
+    part = table(spark, d, "part")
+    side = lambda df, s: df.select(F.col("p_type").alias("block"), F.concat(F.lit(f"{s}-"), "p_partkey").alias("id"), F.lower("p_name").alias("text"))
+    return ret.top_k(side(part, "S1"), side(part.where("p_size % 5 = 0") if missing else part, "S2"), ret.char_grams, 50)
+
+
+@query(f"WITH {NAMED.format(where='')}, {VOCAB.replace(T('text'), GRAMS)}, {QUERIED.replace(T('text'), GRAMS)} SELECT block, s1_id, target_id, score, CAST(rank AS INTEGER) AS rank FROM word WHERE rank <= 50")
+def r6_name_channel(spark, d):
+    return name_channel(spark, d, False)
+
+
+@query(f"WITH {NAMED.format(where='WHERE p_size % 5 = 0')}, {VOCAB.replace(T('text'), GRAMS)}, {QUERIED.replace(T('text'), GRAMS)} SELECT block, s1_id, target_id, score, CAST(rank AS INTEGER) AS rank FROM word WHERE rank <= 50")
+def r7_missing_channel(spark, d):
+    """As the name channel, among targets without an address and with a vocabulary of theirs."""
+    return name_channel(spark, d, True)
+
+
+@query()
+def m1_tree_scores(spark, d):
+    """Boosted trees fit on the fit owners' pairs, stopped on the tune owners', scoring all others: rows that it didn't learn from."""
+    made = fe.relative(candidates(spark, d).select(*KEYS, (F.col("q") >= 30).cast("int").alias("label"), F.col("score").alias("retrieval_score"), F.col("p").alias("name_red_token_set"), (F.col("score") * 0.5 + F.col("p") * 0.5).alias("addr_token_set")))
+    made = made.withColumn("role", smp.role(smp.stable_unit(F.col("s1_id"), "role")))
+    columns = ("retrieval_score", "name_red_token_set", "addr_token_set", "score_rel_max", "score_gap_max", "rank_overall", "n_close", "n_name_close", "name_set_gap", "addr_set_gap")
+    model = mod.fit(made.where("role = 'fit'"), made.where("role = 'tune'"), columns, s=mod.Settings(rounds=20))
+    return mod.predict(model, made.where("role NOT IN ('fit', 'tune')")).select(*KEYS, "label", F.round("p", 6).alias("p"))
+
+
 # ---- decisions ---------------------------------------------------------------
 
 PER = f"""tr AS (SELECT s1_id, count(*) AS g FROM truth GROUP BY 1), grid AS (SELECT range / 100.0 AS threshold FROM range(1, 100)),
