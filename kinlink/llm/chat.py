@@ -1,10 +1,11 @@
 """Transcript parsing by a hidden Markov model over speaker markers and lines.
 
 States are a role and whether a line opens its turn. Emissions are a line's
-speaker marker, its length class and whether a blank line precedes it; all
-probabilities are counted on labelled transcripts. Viterbi's best path gives
-turns and roles, also where markers are missing, and turns are rendered in one
-canonical form.
+speaker marker and whether it is of the transcript's own style, its length
+class, a blank line before it, and the marks at its ends and at the end of
+the line before; all probabilities are counted on labelled transcripts.
+Viterbi's best path gives turns and roles, also where markers are missing,
+and turns are rendered in one canonical form.
 """
 
 from __future__ import annotations
@@ -20,14 +21,26 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.common import load, parts
 
-ROLES = ("system", "user", "assistant")
-MARKED = {"system": ("system", "instructions"), "user": ("user", "human", "question", "q"), "assistant": ("assistant", "ai", "bot", "answer", "a")}
-MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|<|\[|\()?(system|instructions|user|human|question|q|assistant|ai|bot|answer|a)(?:\*\*|>|\]|\))?\s*(?::|>|$)(?:\*\*)?[ \t]*", re.I)
-#: How transcripts are written down: one style a conversation.
-STYLES = ({"system": "System: ", "user": "User: ", "assistant": "Assistant: "}, {"system": "### Instructions: ", "user": "### Human: ", "assistant": "### Assistant: "}, {"system": "[system]: ", "user": "[user]: ", "assistant": "[bot]: "}, {"system": "**System**: ", "user": "**Q**: ", "assistant": "**A**: "})
+#: Any role but the first four is "other", and named as its marker names it.
+ROLES = ("system", "user", "assistant", "tool", "other")
+MARKED = {"system": ("system", "instructions"), "user": ("user", "human", "question", "q"), "assistant": ("assistant", "ai", "bot", "answer", "a"), "tool": ("tool", "function", "observation")}
+ROLE_OF = {w: k for k, r in enumerate(ROLES[:-1]) for w in MARKED[r]}
+MARKER = re.compile(r"^\s*(#{1,4}\s*|\*\*|<|\[|\()?([^\W\d_][\w -]{0,30}?)(\*\*|>|\]|\))?[ \t]*(:|>)(?:\*\*)?[ \t]*")
+#: How transcripts are written down: decoration around a name, and the name of each role; one style a conversation.
+STYLES = (
+    ("{}: ", ("System", "User", "Assistant", "Tool")), ("### {}: ", ("Instructions", "Human", "Assistant", "Function")), ("[{}]: ", ("system", "user", "bot", "tool")), ("**{}**: ", ("System", "Q", "A", "Observation")),
+)
 SAMPLE = 20_000
-MARKS, LENGTHS = len(ROLES) + 1, 4
+#: Values of each feature of a line: marker (none, each role's in the own style, each role's in another), length class, and four yes-or-no ones.
+SIZES = (2 * len(ROLES) + 1, 4, 2, 2, 2, 2)
+OFFSETS = np.cumsum((0, *SIZES))
 STATES = 2 * len(ROLES)  # role, role continued
+CLOSING = tuple(".!?…:;\"'”»)")
+
+
+def role_of(role: str | None) -> int:
+    """Place in ROLES; a null role is the user."""
+    return 1 if role is None else ROLES.index(role) if role in ROLES[:-1] else len(ROLES) - 1
 
 
 def transcript(conv_id, turns: list[tuple[str | None, str | None]]) -> tuple[str, list[tuple[str, bool]]]:
@@ -35,69 +48,90 @@ def transcript(conv_id, turns: list[tuple[str | None, str | None]]) -> tuple[str
 
     The style hangs on the id; one turn in ten, never the first, lacks its marker.
     """
-    style = STYLES[zlib.crc32(str(conv_id).encode()) % len(STYLES)]
+    form, names = STYLES[zlib.crc32(str(conv_id).encode()) % len(STYLES)]
     lines, truth = [], []
     for k, (role, text) in enumerate(turns):
-        role = role if role in ROLES else "user"
-        bare = k and zlib.crc32(f"{conv_id}:{k}".encode()) % 10 == 0
+        at = role_of(role)
+        bare = k and at < len(ROLES) - 1 and zlib.crc32(f"{conv_id}:{k}".encode()) % 10 == 0
+        marker = "" if bare else form.format(names[at] if at < len(names) else role)
         for j, line in enumerate((text or "").split("\n")):
-            lines.append(("" if bare or j else style[role]) + line)
-            truth.append((role, j == 0))
+            lines.append(("" if j else marker) + line)
+            truth.append((ROLES[at], j == 0))
         if zlib.crc32(f"{conv_id}/{k}".encode()) % 2:
             lines.append("")
-            truth.append((role, False))
+            truth.append((ROLES[at], False))
     return "\n".join(lines), truth
 
 
 def features(lines: list[str]) -> np.ndarray:
-    """(marker, length class, blank before) of each line."""
-    out = np.zeros((len(lines), 3), np.int64)
+    """Each line's features as columns of the emission table.
+
+    A marker is of the transcript's own style if it is decorated as the first
+    one, and the role's name is the one that such a marker gave it first.
+    """
+    out = np.zeros((len(lines), len(SIZES)), np.int64)
+    own, names, before = None, {}, ""
     for i, line in enumerate(lines):
-        found = MARKER.match(line)
-        if found:
-            word = found[1].lower()
-            out[i, 0] = 1 + next(k for k, r in enumerate(ROLES) if word in MARKED[r])
+        if found := MARKER.match(line):
+            word = found[2].lower()
+            role = ROLE_OF.get(word, len(ROLES) - 1)
+            decoration = (found[1] or "").strip(), found[3], found[4], found[2][0].isupper()
+            own = own or decoration
+            same = decoration == own and (role == len(ROLES) - 1 or names.setdefault(role, word) == word)
+            out[i, 0] = 1 + role + (0 if same else len(ROLES))
         out[i, 1] = 0 if not line.strip() else 1 if len(line) < 60 else 2 if len(line) < 240 else 3
-        out[i, 2] = int(i > 0 and not lines[i - 1].strip())
-    return out
+        out[i, 2] = i > 0 and not before.strip()
+        out[i, 3] = line.rstrip().endswith("?")
+        out[i, 4] = line.lstrip()[:1].isupper()
+        out[i, 5] = before.rstrip().endswith(CLOSING)
+        before = line
+    return out + OFFSETS[:-1]
 
 
 def counts(lines: list[str], truth: list[tuple[str, bool]]) -> np.ndarray:
     """First states, transitions and emissions of one labelled transcript, in one vector."""
-    first, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, MARKS + LENGTHS + 2))
-    f = features(lines)
-    before = None
-    for (role, opens), (m, n, b) in zip(truth, f.tolist(), strict=True):
-        state = 2 * ROLES.index(role) + (not opens)
-        if before is None:
-            first[state] += 1
-        else:
-            move[before, state] += 1
-        emit[state, m] += 1
-        emit[state, MARKS + n] += 1
-        emit[state, MARKS + LENGTHS + b] += 1
-        before = state
+    first, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, OFFSETS[-1]))
+    state = np.array([2 * ROLES.index(role) + (not opens) for role, opens in truth])
+    first[state[0]] += 1
+    np.add.at(move, (state[:-1], state[1:]), 1)
+    np.add.at(emit, (state[:, None], features(lines)), 1)
     return np.concatenate((first, move.ravel(), emit.ravel()))
 
 
+def marker_prior() -> np.ndarray:
+    """What each state's marker is before any count: a turn opens with its role's own, other lines have none or quote another style."""
+    n = len(ROLES)
+    prior = np.zeros((STATES, SIZES[0]))
+    for k in range(n):
+        opens, goes_on = prior[2 * k], prior[2 * k + 1]
+        opens[:] = 0.04 / (2 * n - 2)
+        opens[[0, 1 + k, 1 + n + k]] = 0.1, 0.8, 0.06
+        goes_on[0], goes_on[1 : 1 + n], goes_on[1 + n :] = 0.9, 0.02 / n, 0.08 / n
+    return prior
+
+
 class Model:
-    """Log probabilities from counts, one added to each."""
+    """Log probabilities from counts, one added to each; a marker's are drawn to their prior by 5 counts and a five-hundredth, so a rare state is no refuge for a rare marker."""
 
     def __init__(self, total: np.ndarray):
         first, move, emit = np.split(total, (STATES, STATES + STATES**2))
         norm = lambda x: np.log((x + 1) / (x + 1).sum(-1, keepdims=True))
         self.first, self.move = norm(first), norm(move.reshape(STATES, STATES))
         e = emit.reshape(STATES, -1)
-        self.marks, self.lengths, self.blanks = norm(e[:, :MARKS]), norm(e[:, MARKS : MARKS + LENGTHS]), norm(e[:, MARKS + LENGTHS :])
+        marks = e[:, : SIZES[0]]
+        pull = 5 + 0.002 * marks.sum(1, keepdims=True)
+        marks = np.log((marks + pull * marker_prior()) / (marks.sum(1, keepdims=True) + pull))
+        self.emit = np.concatenate([marks, *(norm(e[:, a:b]) for a, b in zip(OFFSETS[1:], OFFSETS[2:], strict=False))], 1)
         for k, _ in enumerate(ROLES):  # a turn's continuation follows its own role only
             for other in range(STATES):
                 if other // 2 != k:
                     self.move[other, 2 * k + 1] = -1e9
         self.first[1::2] = -1e9
+        # An unknown role has no name but its marker's.
+        self.emit[STATES - 2, [0, *range(1, len(ROLES))]] = -1e9
 
     def viterbi(self, lines: list[str]) -> list[int]:
-        f = features(lines)
-        emitted = self.marks[:, f[:, 0]] + self.lengths[:, f[:, 1]] + self.blanks[:, f[:, 2]]
+        emitted = self.emit[:, features(lines)].sum(2)
         score, back = self.first + emitted[:, 0], np.zeros((len(lines), STATES), np.int8)
         for i in range(1, len(lines)):
             way = score[:, None] + self.move
@@ -110,11 +144,13 @@ class Model:
 
 
 def turns_of(lines: list[str], path: list[int]) -> list[tuple[str, str]]:
-    """(role, text) of each recovered turn; markers go, outer blank lines too."""
+    """(role, text) of each recovered turn; an opening line's marker of that role goes, outer blank lines too."""
     turns: list[tuple[str, list[str]]] = []
     for line, state in zip(lines, path, strict=True):
         if state % 2 == 0 or not turns:
-            turns.append((ROLES[state // 2], [MARKER.sub("", line, count=1) if MARKER.match(line) else line]))
+            role, found = state // 2, MARKER.match(line)
+            marked = found and ROLE_OF.get(found[2].lower(), len(ROLES) - 1) == role
+            turns.append((found[2] if marked and role == len(ROLES) - 1 else ROLES[role], [line[found.end() :] if marked else line]))
         else:
             turns[-1][1].append(line)
     return [(r, "\n".join(x).strip("\n")) for r, x in turns]
@@ -126,13 +162,24 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def written(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns: each conversation's (turn, role, text) in order of turn, then role and text."""
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    """conv_id, turns: each conversation's (turn, role, text) in order of turn, then role and text.
+
+    Rows without a conv_id say nothing of who they belong to: each is a
+    conversation of its own, so however many there are none is gathered.
+    """
+    turn = F.struct("turn", "role", "text")
+    named = conversations.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return named.unionAll(conversations.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
+
+
+def held_out(conv_id: str = "conv_id") -> F.Column:
+    """crc32(conv_id as text) mod 4 is 2: conversations that the model isn't counted on."""
+    return F.coalesce(F.crc32(F.col(conv_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(conversations: DataFrame, sample: int = SAMPLE) -> Model:
-    """Count on the ``sample`` conversations of smallest hash at most."""
-    some = conversations.select("conv_id").where("conv_id IS NOT NULL").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
+    """Count on the ``sample`` conversations of smallest hash at most, of those that aren't held out."""
+    some = conversations.where("conv_id IS NOT NULL").where(~held_out()).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -144,21 +191,23 @@ def fit(conversations: DataFrame, sample: int = SAMPLE) -> Model:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.float64())], names=["at", "n"])
 
-    size = STATES + STATES**2 + STATES * (MARKS + LENGTHS + 2)
-    total = np.zeros(size)
+    total = np.zeros(STATES + STATES**2 + STATES * OFFSETS[-1])
     for r in written(conversations.join(F.broadcast(some), "conv_id", "left_semi")).mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a parameter
         total[r["at"]] = r["n"]
     return Model(total)
 
 
 def parse(conversations: DataFrame, model: Model) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, n_lines, agreement, rendered.
+    """One row per conversation: conv_id, held_out, n_turns, n_lines, agreement, exact, rendered.
 
     Each conversation is written down as a plain transcript and recovered from
     it alone; ``agreement`` is the share of lines whose role the path gets
-    right. Null roles count as user, null texts as empty; null conv_ids are
-    one conversation; repeated rows are repeated turns; an empty table gives
-    no rows.
+    right, ``exact`` whether all turns come back with their roles and texts
+    (but for line feeds at their ends). Null roles count as user, other roles
+    keep their names, null texts are empty; rows without a conv_id are
+    conversations of their own; repeated rows are repeated turns; texts of any
+    length are read whole; other columns are not read; an empty table gives no
+    rows.
     """
     shared = conversations.sparkSession.sparkContext.broadcast(model)
 
@@ -166,15 +215,18 @@ def parse(conversations: DataFrame, model: Model) -> DataFrame:
         for part in parts(batches, "turns", 8 << 20):
             rows = []
             for conv_id, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                text, truth = transcript(conv_id, [(t["role"], t["text"]) for t in turns])
+                given = [(t["role"], t["text"]) for t in turns]
+                text, truth = transcript(conv_id, given)
                 lines = text.split("\n")
                 path = shared.value.viterbi(lines)
                 found = turns_of(lines, path)
                 right = sum(ROLES[s // 2] == role for s, (role, _) in zip(path, truth, strict=True))
-                rows.append((conv_id, len(found), len(lines), right / len(lines), render(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string()), strict=True)], names=["conv_id", "n_turns", "n_lines", "agreement", "rendered"])
+                whole = found == [("user" if r is None else r, (t or "").strip("\n")) for r, t in given]
+                rows.append((conv_id, len(found), len(lines), right / len(lines), whole, render(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.string()), strict=True)], names=["conv_id", "n_turns", "n_lines", "agreement", "exact", "rendered"])
 
-    return written(conversations).mapInArrow(run, "conv_id long, n_turns int, n_lines int, agreement double, rendered string")
+    made = written(conversations).mapInArrow(run, "conv_id long, n_turns int, n_lines int, agreement double, exact boolean, rendered string")
+    return made.select("conv_id", held_out().alias("held_out"), "n_turns", "n_lines", "agreement", "exact", "rendered")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and odd inputs."""
 
+import itertools
 import os
 import random
 import re
@@ -343,9 +344,22 @@ def test_top_k_of_a_query_whose_id_repeats():
 def test_transcripts_recover_roles(spark):
     rng = random.Random(6)
     rows = [(c, t, ("user", "assistant")[t % 2], " ".join(prose(rng, 8 if t % 2 == 0 else 40)) + "\n" + " ".join(prose(rng, 5))) for c in range(60) for t in range(4)]
-    rows += [(70, 0, None, None), (None, 0, "user", "hi"), (71, 0, "user", "<|im_end|> x")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    quoted = "First line\nQ: what?\nA: see below"
+    rows += [(70, 0, None, None), (None, 0, "user", "hi"), (None, 0, "user", "hi"), (71, 0, "user", "<|im_end|> x"), (72, 0, "user", "ask"), (72, 1, "assistant", quoted), (72, 2, "tool", "42"), (72, 3, "critic", "no"), (73, 0, "user", "x" * 200_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("held_out", F.lit(True))
     got = chat.parse(frame, chat.fit(frame)).collect()
-    assert len(got) == 63 and np.mean([r["agreement"] for r in got]) > 0.9
+    assert len(got) == 66 and np.mean([r["agreement"] for r in got if r["held_out"]]) > 0.9
     assert "<| im_end|> x" in next(r["rendered"] for r in got if r["conv_id"] == 71)
+    mixed = next(r for r in got if r["conv_id"] == 72)
+    assert "<|im_start|>critic\nno<|im_end|>" in mixed["rendered"] and "<|im_start|>tool\n42<|im_end|>" in mixed["rendered"]
     assert chat.parse(frame.limit(0), chat.fit(frame)).count() == 0
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        model = chat.Model(rng.integers(0, 9, chat.STATES + chat.STATES**2 + chat.STATES * chat.OFFSETS[-1]).astype(float))
+        lines = [str(rng.choice(["User: hi", "", "what?", "Bot: x", "### Human: y", "So it is."])) for _ in range(4)]
+        emitted = model.emit[:, chat.features(lines)].sum(2)
+        value = lambda path: model.first[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + sum(emitted[x, i] for i, x in enumerate(path))  # noqa: B023, B905, E731
+        assert value(model.viterbi(lines)) == pytest.approx(max(map(value, itertools.product(range(chat.STATES), repeat=len(lines)))))
