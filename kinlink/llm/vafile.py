@@ -1,11 +1,13 @@
 """Exact top-k inner products through a vector-approximation file.
 
-Every vector is stored twice: as coarse cells of 2**CELL_BITS integers a
-dimension, and exactly. A scan multiplies the queries with the cells of a
-block, which bounds every score from both sides; exact vectors are then read
-in the order of their upper bounds until the k-th result is certain. Queries
-go to the scan in groups of bounded size, one pass a group, so neither side is
-shuffled; only each task's k best of a query are.
+Vectors are stored twice, in two tables: as coarse cells of 2**CELL_BITS
+integers a dimension, a byte each, with the length of what the cells leave
+out, and exactly. A scan of the cells alone bounds every score from both
+sides; a row stays a query's candidate while its upper bound reaches the k-th
+lower bound. Exact vectors are then read in the order of the upper bounds:
+first the most promising few of each query, then those whose bound still
+reaches the k-th exact score, so that the result is certain. Queries go to the
+scan in groups of bounded size, one pass a group.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 
 from kinlink.llm.common import load, materialise
 
-CELL_BITS = 2
-#: Queries of one pass: what is broadcast is at most this many integer vectors.
-QUERY_GROUP = 32_768
+CELL_BITS = 1
+#: Bytes of one group's query vectors, which are broadcast.
+QUERY_BYTES = 16 << 20
 QUERY_BLOCK = 256
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -32,122 +34,176 @@ def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     return embeddings.where(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"))
 
 
-def approximation_file(vectors: DataFrame) -> DataFrame:
-    """The stored file: vec_id, dim, cells (32-bit floats holding small integers), v (exact)."""
+def exact_file(vectors: DataFrame) -> DataFrame:
+    """The exact vectors: rid (a number of the stored row), vec_id, v (64-bit floats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            exact = [np.array(v, dtype=np.float64) for v in b.column(1).to_pylist()]
-            cells = [np.floor(v / (1 << CELL_BITS)).astype(np.float32) for v in exact]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in exact], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([v.tobytes() for v in exact], pa.binary())], names=["vec_id", "dim", "cells", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, dtype=np.float64).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["vec_id", "v"])
 
-    return vectors.mapInArrow(run, "vec_id long, dim int, cells binary, v binary")
+    return materialise(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v binary").select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v"), "vectors")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+def approximation_file(exact: DataFrame) -> DataFrame:
+    """The cells: rid, vec_id, dim, cells (bytes, or wider integers where a cell needs them), rest (length of what they leave out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = float(1 << CELL_BITS)
+        for b in batches:
+            dims, made, rest = [], [], []
+            for raw in b.column(2).to_pylist():
+                v = np.frombuffer(raw)
+                cells = np.floor(v / width)
+                most = float(np.abs(cells).max(initial=0))
+                dims.append(len(v))
+                made.append(cells.astype("i1" if most < 2**7 else "<i4" if most < 2**31 else "<f8").tobytes())
+                rest.append(float(np.linalg.norm(v - width * cells - (width - 1) / 2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(made, pa.binary()), pa.array(rest, pa.float64())], names=["rid", "vec_id", "dim", "cells", "rest"])
+
+    return materialise(exact.mapInArrow(run, "rid long, vec_id long, dim int, cells binary, rest double"), "cells")
 
 
-class Search:
-    """The k best of each query over the blocks seen so far."""
+class Scan:
+    """What the cells of the blocks seen so far leave as candidates of each query."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, queries, k
-        self.scores = [np.zeros(0)] * len(ids)
-        self.found = [np.zeros(0, np.int64)] * len(ids)
-        self.read = 0
-        #: 32-bit products are exact, and doubles hold every score.
-        self.small = self.q.size == 0 or float(np.abs(self.q).max()) < 2**10
-
-    def _scores(self, j: int, exact: np.ndarray) -> np.ndarray:
-        s = exact @ self.q[j]
-        if self.q.shape[1] and float(np.abs(self.q[j]).max(initial=0)) * float(np.abs(exact).max(initial=0)) * self.q.shape[1] >= 2**53:
-            s = np.array([float(sum(int(a) * int(b) for a, b in zip(row, self.q[j], strict=True))) for row in exact])
-        return s
-
-    def scan(self, ids: np.ndarray, cells: np.ndarray, exact: np.ndarray) -> None:
+        self.lows = np.full((len(ids), k), -np.inf)  # highest lower bounds, ascending
+        self.found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in ids]
+        self.norm, self.taxi = np.linalg.norm(queries, axis=1), np.abs(queries).sum(1)
+        self.small = queries.size == 0 or float(np.abs(queries).max()) < 2**10
+
+    def block(self, rid: np.ndarray, ids: np.ndarray, cells: np.ndarray, rest: np.ndarray) -> None:
         width = float(1 << CELL_BITS)
         mid = (width - 1) / 2
-        rest = np.linalg.norm(exact - width * cells - mid, axis=1)
-        slack = 1e-3 * (1 + float(np.abs(cells).max(initial=0)))
+        most = float(np.abs(cells).max(initial=0))
+        slack = 1e-3 * (1 + most)
+        narrow = self.small and most < 2**10  # 32-bit products are exact
+        right = cells.T.astype(np.float32 if narrow else np.float64)
         for at in range(0, len(self.ids), QUERY_BLOCK):
             q = self.q[at : at + QUERY_BLOCK]
-            narrow = self.small and float(np.abs(cells).max(initial=0)) < 2**10
-            centre = (q.astype(np.float32) @ cells.T).astype(np.float64) if narrow else q @ cells.astype(np.float64).T
+            centre = (q.astype(right.dtype) @ right).astype(np.float64)
             centre *= width
             centre += mid * q.sum(1)[:, None]
-            norm, taxi = np.linalg.norm(q, axis=1), np.abs(q).sum(1) * mid
             for j in range(len(q)):
-                half = np.minimum(norm[j] * rest, taxi[j]) * (1 + 1e-9) + slack * (1 + abs(norm[j])) * 1e-3 + 1e-6 * np.abs(centre[j])
-                self._query(at + j, ids, centre[j], half, exact)
+                self._query(at + j, rid, ids, centre[j], rest, mid, slack)
 
-    def _query(self, j: int, ids: np.ndarray, centre: np.ndarray, half: np.ndarray, exact: np.ndarray) -> None:
-        k, upper = self.k, centre + half
-        kth = self.scores[j][-1] if len(self.scores[j]) == k else -np.inf
+    def _query(self, j: int, rid: np.ndarray, ids: np.ndarray, centre: np.ndarray, rest: np.ndarray, mid: float, slack: float) -> None:
+        half = np.minimum(self.norm[j] * rest, self.taxi[j] * mid) * (1 + 1e-9) + slack * (1 + self.norm[j]) * 1e-3 + 1e-6 * np.abs(centre)
+        low, upper = centre - half, centre + half
         others = ids != self.ids[j]  # any number of rows may be the query's own
-        low = (centre - half)[others]
-        if len(low) > k:
-            kth = max(kth, np.partition(low, -k)[-k])
-        places = np.flatnonzero((upper >= kth) & others)
-        if not len(places):
-            return
-        places = places[np.argsort(-upper[places], kind="stable")]
-        at = 0
-        while at < len(places) and (len(self.scores[j]) < k or upper[places[at]] >= self.scores[j][-1]):
-            some = places[at : at + 8 * k]
-            scores = np.concatenate((self.scores[j], self._scores(j, exact[some])))
-            found = np.concatenate((self.found[j], ids[some]))
-            order = best(scores, found, k)
-            self.scores[j], self.found[j] = scores[order], found[order]
-            self.read += len(some)
-            at += len(some)
+        reach = np.flatnonzero(others & (upper >= self.lows[j, 0]))
+        lows = low[reach]
+        best = np.concatenate((self.lows[j], np.partition(lows, -self.k)[-self.k :] if len(lows) > self.k else lows))
+        self.lows[j] = np.sort(best)[-self.k :]
+        reach = reach[upper[reach] >= self.lows[j, 0]]
+        if len(reach):
+            self.found[j].append((rid[reach], ids[reach], low[reach], upper[reach]))
+
+    def candidates(self) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """query id; rid, vec_id, lower and upper bound of its candidates."""
+        for j, parts in enumerate(self.found):
+            if parts:
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                keep = columns[3] >= self.lows[j, 0]
+                yield int(self.ids[j]), tuple(c[keep] for c in columns)
+
+
+def scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers; by Python integers where doubles wouldn't hold them."""
+    if rows.shape[1] and float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1] >= 2**53:
+        return np.array([min(max(sum(int(a) * int(b) for a, b in zip(r, x, strict=True)), LOW), HIGH) for r, x in zip(rows, q, strict=True)], dtype=np.int64)
+    return np.einsum("ij,ij->i", rows, q).astype(np.int64)
+
+
+class Asked:
+    """A group's queries by dimension, as they are broadcast."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]]):
+        by_dim: dict[int, tuple[list[int], list[list[float]]]] = {}
+        for i, v in zip(ids, vectors, strict=True):
+            rows = by_dim.setdefault(len(v), ([], []))
+            rows[0].append(i)
+            rows[1].append(v)
+        self.by_dim = {d: (np.array(i), np.array(v, dtype=np.float64).reshape(len(i), d)) for d, (i, v) in by_dim.items()}
+
+
+def scan(cells: DataFrame, shared, k: int) -> DataFrame:
+    """query_id, rid, vec_id, low, upper of each task's candidates; exact vectors are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = {d: Scan(ids, q, k) for d, (ids, q) in shared.value.by_dim.items()}
+        for b in batches:
+            rid, ids, dims, raw, rest = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(4).to_numpy()
+            size = np.array([len(x) for x in raw]) // np.maximum(dims, 1)
+            for d, w in {(int(d), int(w)) for d, w in zip(dims, size, strict=True)}:
+                if d in searches:
+                    rows = np.flatnonzero((dims == d) & (size == w))
+                    kind = {1: "i1", 4: "<i4", 8: "<f8", 0: "i1"}[w]
+                    searches[d].block(rid[rows], ids[rows], np.frombuffer(b"".join(raw[r] for r in rows), kind).reshape(len(rows), d), rest[rows])
+        for s in searches.values():
+            for query, (rid, ids, low, upper) in s.candidates():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), query)), pa.array(rid), pa.array(ids), pa.array(low), pa.array(upper)], names=["query_id", "rid", "vec_id", "low", "upper"])
+
+    return cells.mapInArrow(run, "query_id long, rid long, vec_id long, low double, upper double")
+
+
+def read_exact(pairs: DataFrame, exact: DataFrame, shared) -> DataFrame:
+    """query_id, rid, vec_id, score of given candidates, from their exact vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {d: {int(i): k for k, i in enumerate(ids.tolist())} for d, (ids, _) in shared.value.by_dim.items()}
+        for b in batches:
+            query, raw = b.column(0).to_pylist(), b.column(3).to_pylist()
+            made = np.zeros(len(raw), np.int64)
+            dims = np.array([len(x) // 8 for x in raw])
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                q = shared.value.by_dim[d][1][[place[d][query[r]] for r in rows]]
+                made[rows] = scores(np.frombuffer(b"".join(raw[r] for r in rows)).reshape(len(rows), d), q)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made)], names=["query_id", "rid", "vec_id", "score"])
+
+    joined = pairs.select("query_id", "rid", "vec_id").join(exact.select("rid", "v"), "rid").select("query_id", "rid", "vec_id", "v")
+    return joined.mapInArrow(run, "query_id long, rid long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k best inner products of each query.
 
     ``vectors`` and ``queries`` hold vec_id and v as ``integer_vectors`` gives
-    them. Rows with the query's vec_id are its own. A vec_id that repeats
-    among the queries is asked once, with its first vector in order; repeated
-    candidate rows are results of their own. Vectors of different lengths
-    don't meet. Scores beyond 64 bits stand as the largest or smallest long.
-    Empty tables give no rows.
+    them; other columns are not read. Rows with the query's vec_id are its
+    own. A vec_id that repeats among the queries is asked once, with its first
+    vector in order; repeated candidate rows are results of their own. Vectors
+    of different lengths don't meet. Scores beyond 64 bits stand as the
+    largest or smallest long. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    stored = materialise(approximation_file(vectors), "cells")
-    asked = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("_group", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // (QUERY_GROUP // 2)))))), "queries")
-    groups = [r["_group"] for r in asked.select("_group").distinct().collect()]  # one number for each QUERY_GROUP queries
+    exact = exact_file(vectors)
+    cells = approximation_file(exact)
+    once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    size = once.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
+    groups = max(1, -(-size // (QUERY_BYTES // 2)))
+    asked = materialise(once.withColumn("_group", F.pmod(F.xxhash64("vec_id"), F.lit(groups))), "queries")
     kept = None
-    for group in sorted(groups):
-        got = asked.where(F.col("_group") == group).select("vec_id", "v").toArrow().sort_by("vec_id")
-        by_dim: dict[int, tuple[list[int], list[list[float]]]] = {}
-        for i, v in zip(got["vec_id"].to_pylist(), got["v"].to_pylist(), strict=True):
-            ids, rows = by_dim.setdefault(len(v), ([], []))
-            ids.append(i)
-            rows.append(v)
-        shared = spark.sparkContext.broadcast({d: (np.array(ids), np.array(rows, dtype=np.float64).reshape(len(ids), d)) for d, (ids, rows) in by_dim.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searches = {d: Search(ids, q, k) for d, (ids, q) in shared.value.items()}
-            for b in batches:
-                ids, dims = b.column(0).to_numpy(), b.column(1).to_numpy()
-                cells, exact = b.column(2).to_pylist(), b.column(3).to_pylist()
-                for d in np.unique(dims).tolist():
-                    if d in searches:
-                        rows = np.flatnonzero(dims == d)
-                        searches[d].scan(ids[rows], np.frombuffer(b"".join(cells[r] for r in rows), np.float32).reshape(-1, d), np.frombuffer(b"".join(exact[r] for r in rows), np.float64).reshape(-1, d))
-            for s in searches.values():
-                n = [len(x) for x in s.found]
-                if sum(n):
-                    scores = [min(max(int(x), LOW), HIGH) for x in np.concatenate(s.scores).tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, n), pa.int64()), pa.array(np.concatenate(s.found), pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        part = stored.mapInArrow(run, "query_id long, vec_id long, score long")
+    for group in range(groups):
+        got = asked.where(F.col("_group") == group).select("vec_id", "v").toArrow().sort_by("vec_id")  # QUERY_BYTES at most
+        if not got.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(Asked(got["vec_id"].to_pylist(), got["v"].to_pylist()))
+        of_query = Window.partitionBy("query_id")
+        found = materialise(scan(cells, shared, k), "candidates")
+        # A query's candidates are some hundreds: their k-th lower bound over all tasks, then their order.
+        kth = F.max(F.when(F.col("_l") == k, F.col("low"))).over(of_query)
+        able = found.withColumn("_l", F.row_number().over(of_query.orderBy(F.desc("low")))).withColumn("_kth", kth).where(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth")))
+        able = materialise(able.withColumn("_place", F.row_number().over(of_query.orderBy(F.desc("upper"), "rid"))).select("query_id", "rid", "vec_id", "upper", "_place"), "ordered")
+        first = materialise(read_exact(able.where(F.col("_place") <= 2 * k), exact, shared), "first")
+        reached = first.withColumn("_r", F.row_number().over(of_query.orderBy(F.desc("score")))).where(F.col("_r") == k).select("query_id", F.col("score").alias("_least"))
+        rest = able.where(F.col("_place") > 2 * k).join(reached, "query_id").where(F.col("upper") >= F.col("_least"))
+        part = first.unionAll(read_exact(rest, exact, shared))
         kept = part if kept is None else kept.unionAll(part)
     if kept is None:
-        kept = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        kept = spark.createDataFrame([], "query_id long, rid long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "rid")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

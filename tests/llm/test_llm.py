@@ -316,29 +316,47 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(0, 0.2, (300, 8))
     data[50:120] = data[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [1e6] * 8), (404, [0.5] * 3)]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [1e6] * 8), (404, [0.5] * 3), (405, []), (420, []), (440, [1e17] * 8), (441, [-1e17] * 8)]
     vectors = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(map(tuple, vafile.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()))
     ints = {r["vec_id"]: [int(x) for x in r["v"]] for r in vectors.collect()}
     want = []
     for q in (i for i in ints if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:20]
+        scored = sorted((-min(max(sum(a * b for a, b in zip(ints[q], v, strict=True)), vafile.LOW), vafile.HIGH), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:20]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     assert got == sorted(want)
     assert vafile.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
-def test_top_k_of_a_query_whose_id_repeats():
-    """30 rows of the query's own id and of high score take no places of others in a block."""
+def test_top_k_of_a_query_whose_id_repeats(spark):
+    """30 rows of the query's own id and of high score take no places of others, in many small ranges too."""
     rng = np.random.default_rng(2)
     exact = np.floor(rng.normal(0, 12, (200, 8)))
-    ids = np.arange(200)
-    ids[:30] = 7
     exact[:30] = 60
-    search = vafile.Search(np.array([7]), exact[:1], 20)
-    search.scan(ids, np.floor(exact / (1 << vafile.CELL_BITS)).astype(np.float32), exact)
-    want = sorted((-float(exact[i] @ exact[0]), i) for i in range(30, 200))[:20]
-    assert list(zip((-search.scores[0]).tolist(), search.found[0].tolist(), strict=True)) == want
+    rows = [(7 if i < 30 else i, v.tolist(), "x") for i, v in enumerate(exact)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>, rid string")
+    want = sorted((-int(exact[i] @ exact[0]), i) for i in range(30, 200))[:20]
+    for n in (1, 9):
+        got = sorted(map(tuple, vafile.top_k(vectors.repartition(n), vectors.where("vec_id = 7"), 20).collect()))
+        assert got == [(7, r, i, -s) for r, (s, i) in enumerate(want, 1)]
+
+
+def test_cells_bound_scores_and_spare_reads(spark):
+    rng = np.random.default_rng(5)
+    exact = np.floor(rng.normal(0, 9, (3000, 32)))
+    cells = np.floor(exact / (1 << vafile.CELL_BITS)).astype(np.int8)
+    rest = np.linalg.norm(exact - (1 << vafile.CELL_BITS) * cells - 0.5, axis=1)
+    search = vafile.Scan(np.arange(20), exact[:20], 20)
+    for at in range(0, 3000, 700):
+        search.block(np.arange(3000)[at : at + 700], np.arange(3000)[at : at + 700], cells[at : at + 700], rest[at : at + 700])
+    reads = 0
+    for query, (rid, _, low, upper) in search.candidates():
+        true = exact[rid] @ exact[query]
+        assert (low <= true).all() and (true <= upper).all()
+        others = [i for i in np.lexsort((np.arange(3000), -(exact @ exact[query]))) if i != query][:20]
+        assert set(others) <= set(rid.tolist())
+        reads += len(rid)
+    assert reads < 0.25 * 20 * 3000
 
 
 def test_transcripts_recover_roles(spark):
