@@ -35,19 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kinlink/{name}-{uuid.uuid4().hex}"
+def session_dir(spark: SparkSession) -> str:
+    """The session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/kinlink/{spark.sparkContext.applicationId}"
+
+
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder; the stored table and its path."""
+    spark = df.sparkSession
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives lost executors; types and column order stay.
+    What is returned by an operator may read such tables, so they stay until
+    ``clear`` is called.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session; call it once the results are written."""
+    remove(spark, session_dir(spark))
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import materialise
+from kinlink.llm.common import remove, store
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,16 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """node, root (the least node of its component) for every node with an edge.
 
     Every round is stored in the shared folder, so lost executors cost one
-    round; the number of rounds grows with the logarithm of the nodes.
+    round, and deleted when the next one is there; the number of rounds grows
+    with the logarithm of the nodes.
     """
     state = None
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
+    now, path = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("a") < F.col("b"))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select("b", "b").distinct())
         state = seen
-        now = materialise(_stars(_stars(now, True), False), name)
+        new, at = store(_stars(_stars(now, True), False), name)
+        remove(edges.sparkSession, path)
+        now, path = new, at

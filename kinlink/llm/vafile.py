@@ -175,7 +175,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     own. A vec_id that repeats among the queries is asked once, with its first
     vector in order; repeated candidate rows are results of their own. Vectors
     of different lengths don't meet. Scores beyond 64 bits stand as the
-    largest or smallest long. Empty tables give no rows.
+    largest or smallest long; which of those are kept follows their true size.
+    Empty tables give no rows.
     """
     spark = vectors.sparkSession
     exact = exact_file(vectors)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import load, parts, shared_path
+from kinlink.llm.common import load, parts, session_dir
 
 END = "\r\n\r\n"
 SEGMENT = 32 << 10
@@ -234,7 +235,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "warc")
+    path = f"{session_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(load(spark, sf_dir, "pages"), path)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 

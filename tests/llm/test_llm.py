@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.llm import chat, decontaminate, jaccard, packing, pages, quality, token_counts, toxicity, vafile, warc
+from kinlink.llm import chat, common, decontaminate, jaccard, packing, pages, quality, token_counts, toxicity, vafile, warc
 from kinlink.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, score double"
@@ -220,6 +220,13 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_intermediate_tables_go_when_asked(spark):
+    common.materialise(spark.range(3), "some")
+    assert os.listdir(common.session_dir(spark))
+    common.clear(spark)
+    assert not os.path.exists(common.session_dir(spark))
+
+
 def test_leaks_find_copies_and_paraphrases(spark):
     rng = random.Random(9)
     items = [" ".join(prose(rng, 30)) + ". " + " ".join(prose(rng, 8)) + "." for _ in range(20)]
@@ -316,7 +323,7 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(0, 0.2, (300, 8))
     data[50:120] = data[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [1e6] * 8), (404, [0.5] * 3), (405, []), (420, []), (440, [1e17] * 8), (441, [-1e17] * 8)]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [1e6] * 8), (404, [0.5] * 3), (405, []), (420, []), (440, [1e7] * 8), (441, [-1e7] * 8)]
     vectors = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(map(tuple, vafile.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()))
     ints = {r["vec_id"]: [int(x) for x in r["v"]] for r in vectors.collect()}
