@@ -73,10 +73,10 @@ def best(table: DataFrame) -> DataFrame:
 
 
 def one_owner(accepted: DataFrame) -> DataFrame:
-    """The claim of highest p of each target, ties to the smaller owner: an aggregate, so a contested target is no window."""
+    """The claim of highest p of each target, ties to the smaller owner: an aggregate, so a contested target is no window. A claim without a p is none."""
     order = F.struct(-F.col("p"), F.col("s1_id"))
     rest = [c for c in accepted.columns if c != "target_id"]
-    return accepted.groupBy("target_id").agg(F.min_by(F.struct(*rest), order).alias("_x")).select("target_id", "_x.*").select(*accepted.columns)
+    return accepted.where(F.col("p").isNotNull()).groupBy("target_id").agg(F.min_by(F.struct(*rest), order).alias("_x")).select("target_id", "_x.*").select(*accepted.columns)
 
 
 def claims(scored: DataFrame) -> DataFrame:

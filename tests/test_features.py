@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as sim
 from kinlink.functions import text as tx
-from kinlink.operators import dictionary, features, models, relations, reports, retrieval, sampling
+from kinlink.operators import decisions, dictionary, features, models, relations, reports, retrieval, sampling
 from kinlink.streaming import matching
 
 
@@ -94,6 +94,11 @@ def test_checked_join_and_units(spark):
     assert one(spark, "S1-7", lambda c: sampling.blake_unit(c, "salt")) == want
 
 
+def test_a_claim_without_a_score_owns_nothing(spark):
+    rows = spark.createDataFrame([("a", "x", None), ("c", "x", 0.9), ("b", "x", 0.9), ("a", "y", None)], "s1_id string, target_id string, p double")
+    assert list(map(tuple, decisions.one_owner(rows).collect())) == [("b", "x", 0.9)]
+
+
 def test_auc_counts_ties_half(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 9) / 10, int(rng.random() < 0.4)) for _ in range(200)]
