@@ -56,7 +56,10 @@ class Counter:
 
     def __init__(self, path: str):
         self.model = open_model(path)
-        self.whole = prove(self.model)
+        try:
+            self.whole: frozenset[str] | None = prove(self.model)
+        except ValueError:  # merges of this model may cross pre-tokens: the library counts whole texts
+            self.whole = None
         self.cache: dict[str, int] = {}
         self.parts: dict[str, int] = {}
 
@@ -79,6 +82,8 @@ class Counter:
             self.parts[p] = len(ids) - (p[0] == "\n")
 
     def __call__(self, texts: list[str]) -> list[int]:
+        if self.whole is None:
+            return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
         if len(self.cache) > CACHE_LIMIT:
             self.cache.clear()
             self.parts.clear()
