@@ -1,5 +1,7 @@
 """Operators on hand-built frames."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,9 @@ def test_vocabulary_keeps_every_term_unless_told(spark):
     counts = ret.term_counts(targets, ret.words(F.col("text")))
     assert ret.vocabulary(targets, counts).count() == 300_001
     assert ret.vocabulary(targets, counts, max_terms=5).count() == 5
+
+
+def test_no_retrieval_cuts_the_vocabulary_by_itself():
+    """The weights, word and name channels and given pairs follow SQL that keeps every term."""
+    for f in (ret.vocabulary, ret.top_k, ret.pair_scores):
+        assert inspect.signature(f).parameters["max_terms"].default is None
