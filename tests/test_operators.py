@@ -144,3 +144,15 @@ def test_texts_that_many_rows_share_are_scored_once_and_lose_nothing(spark):
     for k in (1, 7, 200):
         want, got = (rows(f(queries, targets, ret.char_grams, k), "block", "s1_id", "target_id", "score", "rank") for f in (ret.top_k, ret.top_k_of_texts))
         assert got == want and want
+
+
+def test_channels_of_names_ask_once_for_each_name(spark, tmp_path, monkeypatch):
+    from kinlink.plans import third_stage
+
+    part = [(i, f"name{i % 3}", "LARGE", 5 * (i % 4)) for i in range(120)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    asked, pairs = [], ret.similarity_pairs
+    monkeypatch.setattr(ret, "similarity_pairs", lambda q, t: asked.append((q.select("id").distinct().count(), t.select("id").distinct().count())) or pairs(q, t))
+    for channel in (third_stage.r6_name_channel, third_stage.r7_missing_channel):
+        assert channel(spark, str(tmp_path)).count() == 120 * 50
+    assert asked == [(3, 3), (3, 3)]
