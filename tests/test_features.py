@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,13 @@ def test_stream_answers_every_owner_once(spark, tmp_path):
         matching.match_stream(owners, targets, retrieval.words, 1, 0.1, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("s1_id", "target_id").collect()
     assert ("o0", "t1") in set(map(tuple, got)) and len(got) == len({r["s1_id"] for r in got})
+
+
+def test_scores_of_many_pairs_equal_those_of_one():
+    rng = random.Random(9)
+    one_by_one = {"ratio": sim.indel, "token_sort": sim.token_sort, "token_set": sim.token_set, "partial": sim.partial, "jaro_winkler": sim.jaro_winkler}
+    for letters, longest in (("ab ", 9), ("abcdé 𝒳\0", 30), ("xyz", 64), ("ab c", 90)):
+        made = lambda: ["".join(rng.choices(letters, k=rng.randint(0, longest))) for _ in range(300)]  # noqa: B023, E731
+        for a, b in ((made(), made()), (["cat dog", "Supplier#1", "x" * 64], ["eel", "Customer#2", "x" * 64])):
+            for name, f in one_by_one.items():
+                assert sim.scores(name, pd.Series(a), pd.Series(b)).tolist() == [f(x, y) for x, y in zip(a, b, strict=True)], name

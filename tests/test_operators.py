@@ -156,3 +156,23 @@ def test_channels_of_names_ask_once_for_each_name(spark, tmp_path, monkeypatch):
     for channel in (third_stage.r6_name_channel, third_stage.r7_missing_channel):
         assert channel(spark, str(tmp_path)).count() == 120 * 50
     assert asked == [(3, 3), (3, 3)]
+
+
+def test_names_that_many_rows_share_are_measured_once(spark, tmp_path):
+    from kinlink.plans import catalogue
+
+    names = ["Supplier#1", "Supplier#1", None, "", "Customer#1"]
+    s = [(i, names[i % 5], i % 3 if i % 7 else None) for i in range(40)]
+    c = [(i, f"Customer#{i % 4}" if i % 5 else None, i % 2) for i in range(1500)]
+    spark.createDataFrame(s, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(c, "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    seen = []
+
+    def measure(pairs):
+        seen.append(pairs.groupBy("nation", "s_name", "c_name").count().count())
+        return pairs.withColumn("ratio", sim.SCORERS["ratio"](F.col("s_name"), F.col("c_name")))
+
+    got = sorted(catalogue.name_pairs(spark, str(tmp_path), measure).collect(), key=lambda r: r[:2])
+    want = [(x[0], y[0], sim.indel(x[1], y[1]) if x[1] and y[1] else None) for x in s for y in c if x[2] == y[2]]
+    assert list(map(tuple, got)) == want and seen[0] <= 2 * 5 * 5
+    assert catalogue.name_pairs(spark, str(tmp_path), measure).columns == ["s_suppkey", "c_custkey", "ratio"]
