@@ -176,3 +176,11 @@ def test_names_that_many_rows_share_are_measured_once(spark, tmp_path):
     want = [(x[0], y[0], sim.indel(x[1], y[1]) if x[1] and y[1] else None) for x in s for y in c if x[2] == y[2]]
     assert list(map(tuple, got)) == want and seen[0] <= 2 * 5 * 5
     assert catalogue.name_pairs(spark, str(tmp_path), measure).columns == ["s_suppkey", "c_custkey", "ratio"]
+
+
+def test_a_common_profile_has_many_lists(spark):
+    from kinlink.operators import pairs
+
+    lists = pairs.gathered(spark.range(5000).selectExpr("1 AS k", "CAST(NULL AS STRING) AS name", "id"), ["k"], ["name"], ["id"])
+    sizes = [len(r["_ids"]) for r in lists.collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 2 * pairs.LIST
