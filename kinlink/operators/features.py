@@ -27,23 +27,31 @@ def token_idf(texts: DataFrame, column: str, by: list[str]) -> tuple[DataFrame,
     return df.join(sizes, by).select(*by, "token", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("idf")), sizes
 
 
-def weighted_overlap(pairs: DataFrame, query: str, target: str, idf: DataFrame, sizes: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """KEYS and six idf-weighted measures of two texts' token sets; null where either is empty.
+def overlap_of_texts(texts: DataFrame, query: str, target: str, idf: DataFrame, sizes: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """The columns of ``texts``, distinct rows of ``by`` and two texts, and six idf-weighted measures of the texts' token sets; null where either is empty.
 
     A token outside the group's table weighs ln(n + 1) + 1. Each pair's tokens
     meet the table in one join.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda t: t != ""))
-    sets = pairs.select(*KEYS, *by, words(query).alias("_a"), words(target).alias("_b"))
-    rows = sets.select(*KEYS, *by, "_a", "_b", F.explode_outer(F.array_union("_a", "_b")).alias("token"))
+    sets = texts.select(F.struct(*by, query, target).alias("_of"), *by, words(F.col(query)).alias("_a"), words(F.col(target)).alias("_b"))
+    rows = sets.select("_of", *by, "_a", "_b", F.explode_outer(F.array_union("_a", "_b")).alias("token"))
     rows = rows.join(idf, [*by, "token"], "left").join(F.broadcast(sizes), by, "left")  # a row a group
     w = F.coalesce("idf", F.log(F.coalesce("_n", F.lit(0)) + 1) + 1)
     of = lambda c: F.sum(F.when(c, w).otherwise(0.0))
     in_a, in_b = F.array_contains("_a", F.col("token")), F.array_contains("_b", F.col("token"))
-    sums = rows.groupBy(*KEYS).agg(of(in_a & in_b).alias("s"), of(in_a).alias("a"), of(in_b).alias("b"), F.first((F.size("_a") > 0) & (F.size("_b") > 0)).alias("_told"))
+    sums = rows.groupBy("_of").agg(of(in_a & in_b).alias("s"), of(in_a).alias("a"), of(in_b).alias("b"), F.first((F.size("_a") > 0) & (F.size("_b") > 0)).alias("_told"))
     s, a, b = F.col("s"), F.col("a"), F.col("b")
     values = (s, F.try_divide(s, a), F.try_divide(s, b), a - s, b - s, F.try_divide(s, a + b - s))
-    return sums.select(*KEYS, *[F.when(F.col("_told"), v).alias(f"{prefix}_{n}") for n, v in zip(OVERLAP, values, strict=True)])
+    return sums.select("_of.*", *[F.when(F.col("_told"), v).alias(f"{prefix}_{n}") for n, v in zip(OVERLAP, values, strict=True)])
+
+
+def weighted_overlap(pairs: DataFrame, query: Column, target: Column, idf: DataFrame, sizes: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """KEYS and six idf-weighted measures of two texts; each combination of texts is measured once."""
+    told = pairs.select(*KEYS, F.struct(*by, query.alias("_q"), target.alias("_t")).alias("_of"))
+    made = overlap_of_texts(told.select("_of").distinct().select("_of.*"), "_q", "_t", idf, sizes, by, prefix)
+    names = [f"{prefix}_{n}" for n in OVERLAP]
+    return told.join(made.select(F.struct(*by, "_q", "_t").alias("_of"), *names), "_of").select(*KEYS, *names)
 
 
 def number_match(a: Column, b: Column) -> tuple[Column, Column]:

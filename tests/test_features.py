@@ -139,3 +139,19 @@ def test_scores_of_many_pairs_equal_those_of_one():
         for a, b in ((made(), made()), (["cat dog", "Supplier#1", "x" * 64], ["eel", "Customer#2", "x" * 64])):
             for name, f in one_by_one.items():
                 assert sim.scores(name, pd.Series(a), pd.Series(b)).tolist() == [f(x, y) for x, y in zip(a, b, strict=True)], name
+
+
+def test_pairs_of_parts_are_measured_by_profile(spark, tmp_path):
+    from kinlink.plans import third_stage
+
+    part = [(i, f"name{i % 2}", "B", "LARGE", 10 + i % 3) for i in range(60)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+
+    def measure(pairs):
+        seen.append(pairs.groupBy("p_brand", "p_size", "x", "y").count().count())
+        return pairs.withColumn("sum", F.col("x") + F.col("y"))
+
+    got = sorted(map(tuple, third_stage.measured(spark, str(tmp_path), (["x"], ["y"]), measure).collect()))
+    assert got == sorted((f"S1-{a[0]}", f"S2-{b[0]}", a[4] % 4 + b[4] % 5) for a in part for b in part if a[4] == b[4] and a[0] != b[0]) and seen == [3]
+    assert third_stage.fe4_number_match(spark, str(tmp_path)).count() == len(got)
