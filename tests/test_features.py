@@ -155,3 +155,13 @@ def test_pairs_of_parts_are_measured_by_profile(spark, tmp_path):
     got = sorted(map(tuple, third_stage.measured(spark, str(tmp_path), (["x"], ["y"]), measure).collect()))
     assert got == sorted((f"S1-{a[0]}", f"S2-{b[0]}", a[4] % 4 + b[4] % 5) for a in part for b in part if a[4] == b[4] and a[0] != b[0]) and seen == [3]
     assert third_stage.fe4_number_match(spark, str(tmp_path)).count() == len(got)
+
+
+def test_overlap_measures_each_combination_of_texts_once(spark, monkeypatch):
+    idf = spark.createDataFrame([("S2", "main", 2.0)], "source string, token string, idf double")
+    sizes = spark.createDataFrame([("S2", 9)], "source string, _n long")
+    pairs = spark.createDataFrame([(f"a{i}", f"x{i}", "S2", "main new", "main" if i % 2 else None) for i in range(20)], "s1_id string, target_id string, source string, q string, t string")
+    seen, inner = [], features.overlap_of_texts
+    monkeypatch.setattr(features, "overlap_of_texts", lambda texts, *a: seen.append(texts.count()) or inner(texts, *a))
+    got = {r["s1_id"]: r["name_shared_idf"] for r in features.weighted_overlap(pairs, F.col("q"), F.col("t"), idf, sizes, ["source"], "name").collect()}
+    assert seen == [2] and got == {f"a{i}": 2.0 if i % 2 else None for i in range(20)}
