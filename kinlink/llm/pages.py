@@ -227,7 +227,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
                 hashes = [hash64(t) - 2**63 for _, t in lines]
                 digest = hashlib.blake2b(np.array(hashes, np.int64).tobytes(), digest_size=16).hexdigest()
                 standing = [s for s, _ in lines]
-                rows.append((page_id, url, f"{page_id}|{hash64(url or '')}|{digest}", *address(url), digest, any(s in (OPEN, DOUBT) for s in standing), standing, hashes, [t for _, t in lines]))
+                rows.append((page_id, url, f"{page_id}|{hash64(url or '')}|{digest}", *address(url), digest, bool(lines), standing, hashes, [t for _, t in lines]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, LINES)
@@ -238,7 +238,7 @@ def _common(a: str, b: str) -> int:
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    """_row, _digest, _other: for each page with lines to doubt, the digest of the nearest page of its host with other lines.
+    """_row, _digest, _other: for each page with lines, the digest of the nearest page of its host with other lines.
 
     Narrow rows are sorted by ranges of (host, path, id), so a hot host
     spreads over tasks, and walked once by runs of equal digests. What a
@@ -346,15 +346,14 @@ def extract(pages: DataFrame) -> DataFrame:
     often as they occur, whole pages are read however long, other columns are
     ignored, and an empty table gives no rows. Where deleting shared lines
     would leave nothing (a page that only repeats another's lines), all lines
-    stay. Pages whose lines an article all vouches for aren't shuffled.
+    stay. Every page with lines is aligned with its nearest other page, whatever
+    its markup.
     """
     lines = materialise(page_lines(pages), "lines")
-    text = lambda kept: (F.array_join(kept, "\n")).alias("text")
-    certain = lines.where(~F.col("_needs")).select("page_id", "url", text(F.col("_texts")))
-    doubted = lines.where("_needs").select("page_id", "url", "_row", "_standing", "_texts").join(template(lines), "_row", "left")
+    told = lines.select("page_id", "url", "_row", "_standing", "_texts").join(template(lines), "_row", "left")
     stays = lambda t, i: F.get("_standing", i).isin(ARTICLE, TEASER) | ~F.coalesce(F.array_contains("_shared", i), F.lit(False))
     kept = F.filter("_texts", stays)
-    result = certain.unionAll(doubted.select("page_id", "url", text(F.when(F.size(kept) > 0, kept).otherwise(F.col("_texts")))))
+    result = told.select("page_id", "url", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.col("_texts")), "\n").alias("text"))
     return result.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -392,3 +392,11 @@ def test_viterbi_is_the_best_of_all_paths():
         emitted = model.emit[:, chat.features(lines)].sum(2)
         value = lambda path: model.first[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + sum(emitted[x, i] for i, x in enumerate(path))  # noqa: B023, B905, E731
         assert value(model.viterbi(lines)) == pytest.approx(max(map(value, itertools.product(range(chat.STATES), repeat=len(lines)))))
+
+
+def test_pages_of_articles_are_differenced_too(spark):
+    page = lambda x: f"<article><p>Top</p><p>{x}</p></article>"
+    rows = spark.createDataFrame([(1, "http://h/1", page("a")), (2, "http://h/2", page("b")), (3, "http://h/3", "")], "page_id long, url string, html string")
+    lines = pages.materialise(pages.page_lines(rows), "lines")
+    assert [r["_shared"] for r in pages.template(lines).collect()] == [[0], [0]]
+    assert {r["page_id"]: r["text"] for r in pages.extract(rows).collect()} == {1: "Top\na", 2: "Top\nb", 3: ""}
