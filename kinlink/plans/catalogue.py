@@ -208,7 +208,7 @@ def o7_vocabulary(spark, d):
 def r2_tfidf_weights(spark, d):
     t = targets(spark, d)
     counts = ret.term_counts(t, ret.words(F.col("text")))
-    return ret.weigh(counts, ret.vocabulary(t, counts)).withColumn("weight", F.round("weight", 9))
+    return ret.weigh(counts, ret.vocabulary(t, counts)).withColumn("weight", ret.rounded(F.col("weight"), 9))
 
 
 @query(f"WITH {TARGETS}, {OWNERS}, {VOCAB}, {QUERIED} SELECT block, s1_id, target_id, score, CAST(rank AS INTEGER) AS rank FROM word WHERE rank <= 50")

@@ -1,6 +1,7 @@
 """Operators on hand-built frames."""
 
 import inspect
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,23 @@ def test_a_common_profile_has_many_lists(spark):
     lists = pairs.gathered(spark.range(5000).selectExpr("1 AS k", "CAST(NULL AS STRING) AS name", "id"), ["k"], ["name"], ["id"])
     sizes = [len(r["_ids"]) for r in lists.collect()]
     assert sum(sizes) == 5000 and max(sizes) < 2 * pairs.LIST
+
+
+def test_weights_keep_rows_without_an_id_and_any_order(spark):
+    """As the SQL, whose windows keep null ids; the length of a text is the correctly rounded one, whatever the order of its terms."""
+    counts = [("b", i, f"t{n}", 1 + n * n % 7) for i in ("x", None) for n in range(400)]
+    vocab = spark.createDataFrame([("b", f"t{n}", 1 + n / 97) for n in range(400)], "block string, term string, idf double")
+    weights = []
+    for order in (counts, counts[::-1]):
+        made = ret.weigh(spark.createDataFrame(order, "block string, id string, term string, tf long").repartition(3), vocab)
+        weights.append({(r["id"], r["term"]): r["weight"] for r in made.collect()})
+    raw = dict(spark.createDataFrame(counts[:400], "block string, id string, term string, tf long").join(vocab, ["block", "term"]).select("term", (1 + F.ln("tf")) * F.col("idf")).collect())
+    norm = math.sqrt(math.fsum(w * w for w in raw.values()))
+    assert weights[0] == weights[1] == {(i, t): w / norm for i in ("x", None) for t, w in raw.items()}
+
+
+def test_weights_round_as_their_sql(spark):
+    """DuckDB rounds the product with 10^9; these lie next to ties."""
+    ties = [0.5338320965, 0.6622315814999999, 0.7297351224999999, 0.1258903095, 0.25, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in ties], "x double").select(ret.rounded(F.col("x"), 9)).collect()]
+    assert got == [0.533832096, 0.662231582, 0.729735123, 0.125890309, 0.25, 0.0]
