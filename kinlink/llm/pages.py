@@ -211,12 +211,12 @@ def address(url: str | None) -> tuple[str, str]:
     return (found[1].lower(), found[2]) if found else ("", url or "")
 
 
-LINES = "page_id long, url string, _row string, _host string, _path string, _digest string, _needs boolean, _standing array<tinyint>, _hashes array<long>, _texts array<string>"
+LINES = "page_id long, url string, _row string, _host string, _path string, _digest string, _needs boolean, _yields boolean, _standing array<tinyint>, _hashes array<long>, _texts array<string>"
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """Each page parsed once: its lines, their hashes and standings, and a digest that tells other lines apart."""
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string()))
     names = [f.split()[0] for f in LINES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
                 hashes = [hash64(t) - 2**63 for _, t in lines]
                 digest = hashlib.blake2b(np.array(hashes, np.int64).tobytes(), digest_size=16).hexdigest()
                 standing = [s for s, _ in lines]
-                rows.append((page_id, url, f"{page_id}|{hash64(url or '')}|{digest}", *address(url), digest, bool(lines), standing, hashes, [t for _, t in lines]))
+                rows.append((page_id, url, f"{page_id}|{hash64(url or '')}|{digest}", *address(url), digest, bool(lines), any(s not in (ARTICLE, TEASER) for s in standing), standing, hashes, [t for _, t in lines]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, LINES)
@@ -350,7 +350,9 @@ def extract(pages: DataFrame) -> DataFrame:
     its markup.
     """
     lines = materialise(page_lines(pages), "lines")
-    told = lines.select("page_id", "url", "_row", "_standing", "_texts").join(template(lines), "_row", "left")
+    found = materialise(template(lines), "template")  # every page is aligned before what can't change a text is left out
+    deleted = materialise(found.join(lines.where("_yields").select("_row").distinct(), "_row", "left_semi"), "deleted")  # known to be small where it is, so that texts aren't shuffled
+    told = lines.select("page_id", "url", "_row", "_standing", "_texts").join(deleted, "_row", "left")
     stays = lambda t, i: F.get("_standing", i).isin(ARTICLE, TEASER) | ~F.coalesce(F.array_contains("_shared", i), F.lit(False))
     kept = F.filter("_texts", stays)
     result = told.select("page_id", "url", F.array_join(F.when(F.size(kept) > 0, kept).otherwise(F.col("_texts")), "\n").alias("text"))

@@ -400,3 +400,12 @@ def test_pages_of_articles_are_differenced_too(spark):
     lines = pages.materialise(pages.page_lines(rows), "lines")
     assert [r["_shared"] for r in pages.template(lines).collect()] == [[0], [0]]
     assert {r["page_id"]: r["text"] for r in pages.extract(rows).collect()} == {1: "Top\na", 2: "Top\nb", 3: ""}
+
+
+def test_texts_of_pages_that_keep_all_lines_are_not_shuffled(spark):
+    """All pages are aligned; where shared lines stay as an article vouches for them, the texts only meet a small table."""
+    html = [(i, f"http://h/a/{i}", f"<article><p>Top</p><p>line {i}</p></article>") for i in range(9)]
+    made = pages.extract(spark.createDataFrame(html, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in made.collect()} == {i: f"Top\nline {i}" for i in range(9)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
