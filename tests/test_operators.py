@@ -2,6 +2,7 @@
 
 import inspect
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,27 @@ def test_a_common_profile_has_many_lists(spark):
     assert sum(sizes) == 5000 and max(sizes) < 2 * pairs.LIST
 
 
+def test_rows_of_many_matches_are_not_held_together(spark):
+    """Generated code holds all rows that come of one row: two short lists at most, not all lists that a row of the join meets."""
+    from kinlink.operators import pairs
+
+    seen = []
+
+    def measure(met):
+        seen.append(met.agg(F.max(F.size("_a")), F.max(F.size("_b"))).first())
+        return met.withColumn("sum", F.col("an") + F.col("bn"))
+
+    side = lambda s: spark.range(900).selectExpr("1 AS k", f"IF(id % 3 = 0, NULL, id % 3) AS {s}n", f"IF(id = 7, NULL, id) AS {s}")
+    made = pairs.measured_pairs(side("a"), side("b"), ["k"], (["an"], ["bn"]), (["a"], ["b"]), measure)
+    assert all(most and most <= 128 for most in seen[0])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    spread, joined = plan.index("Coalesce"), plan.index("Join")
+    assert plan[:spread].count("Generate explode") == 2 and spread < joined
+    n = lambda i: i % 3 or None
+    want = Counter((None if a == 7 else a, None if b == 7 else b, n(a) + n(b) if n(a) and n(b) else None) for a in range(900) for b in range(900))
+    assert {tuple(r)[:3]: r["count"] for r in made.groupBy("a", "b", "sum").count().collect()} == want
+
+
 def test_weights_keep_rows_without_an_id_and_any_order(spark):
     """As the SQL, whose windows keep null ids; the length of a text is the correctly rounded one, whatever the order of its terms."""
     counts = [("b", i, f"t{n}", 1 + n * n % 7) for i in ("x", None) for n in range(400)]
