@@ -4,6 +4,7 @@ import inspect
 import math
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,28 @@ def test_rows_of_many_matches_are_not_held_together(spark):
     assert {tuple(r)[:3]: r["count"] for r in made.groupBy("a", "b", "sum").count().collect()} == want
 
 
+def test_numbers_of_names_are_measured_by_their_digits(spark, tmp_path, monkeypatch):
+    """Names that differ are one profile where their digits and lengths are equal; rows equal the SQL, those of null and empty names too."""
+    from kinlink.operators import pairs
+    from kinlink.plans import catalogue
+
+    odd = [None, "", "no", "é", "٣ three 3", "77 7"]
+    s = [(i, f"Supplier#{i:03}" if i % 4 else odd[i % 6], i % 3 if i % 7 else None) for i in range(90)]
+    c = [(i, f"Customer#{1000 + i}" if i % 4 else odd[i // 4 % 6], i % 2) for i in range(400)]
+    spark.createDataFrame(s, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(c, "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    seen, inner = [], pairs.gathered
+    monkeypatch.setattr(pairs, "gathered", lambda *a: seen.append(inner(*a)) or seen[-1])
+    told = lambda found: Counter(str(tuple(r)) for r in found)  # noqa: E731  NaN equals itself as text
+    got = told(catalogue.f8_number_jaccard(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == told(con.sql(catalogue.SQL["f8_number_jaccard"]).fetchall())
+    digits = {(k % 2, "".join(sorted(set(filter(lambda x: x in "0123456789", n or "")))), len(n) if n is not None else None) for k, n, _ in c}
+    assert seen[1].count() == len(digits) < len({(k % 2, n) for k, n, _ in c})
+
+
 def test_weights_keep_rows_without_an_id_and_any_order(spark):
     """As the SQL, whose windows keep null ids; the length of a text is the correctly rounded one, whatever the order of its terms."""
     counts = [("b", i, f"t{n}", 1 + n * n % 7) for i in ("x", None) for n in range(400)]
